@@ -46,3 +46,5 @@ def visible_to_workers(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    env.setdefault("OMP_NUM_THREADS", "1")  # a worker's numpy uses its task's core alone
+    env.setdefault("OPENBLAS_NUM_THREADS", "1")
