@@ -62,9 +62,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def drop_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs that stay, all columns; rows repeated in full (one id, one text) leave one row."""
-    kept = exact_dedup(docs, index, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi").dropDuplicates([id_col])
+    """Rows of docs that stay, all columns; of rows repeated in full (one id, one text) one stays."""
+    kept = exact_dedup(docs, index, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__h"))
+    own = docs.withColumn("__digest", F.unhex(F.sha2(F.encode(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "UTF-8"), 256)))
+    rows = own.join(kept, own[id_col].eqNullSafe(kept["__id"]) & (own["__digest"] == kept["__h"]), "left_semi")
+    return rows.dropDuplicates([id_col, "__digest"]).drop("__digest")
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
