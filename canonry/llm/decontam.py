@@ -20,7 +20,10 @@ BUCKET_BITS, RANK, PASSAGE = 15, 64, 64
 BUCKETS, BLOCKS = 1 << BUCKET_BITS, 32
 #: A window whose cosine with an item is at least COSINE is a candidate; of the item's words a share of SHARE must
 #: follow one another in the text, and ANSWER of its answer's words; from VERBATIM on no answer check is needed.
-COSINE, SHARE, ANSWER, VERBATIM = 0.40, 0.65, 0.5, 0.9
+COSINE, SHARE, ANSWER, VERBATIM = 0.35, 0.65, 0.5, 0.9
+#: Leading directions, which tell languages and common words apart rather than passages, are left out of the cosine.
+LEADING = 4
+SEEN_BITS = 1024  # of the presence map of a window's words
 LEAST_WORDS = 5  # items of fewer words are matched whole
 SMALLEST_WINDOW = 16
 REMEMBERED = 500_000
@@ -145,7 +148,10 @@ def fit_space(words: DataFrame) -> Space:
     if not n or not keep.any():
         return Space(r.astype(np.float32), idf.astype(np.float32))
     left, single, _ = np.linalg.svd((idf[:, None] * s) @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False)
-    return Space((idf[:, None] * left / np.maximum(single, 1e-6 * single[0])).astype(np.float32), idf.astype(np.float32))
+    fold = idf[:, None] * left / np.maximum(single, 1e-6 * single[0])
+    if fold.shape[1] > 2 * LEADING:
+        fold[:, :LEADING] = 0
+    return Space(fold.astype(np.float32), idf.astype(np.float32))
 
 
 @dataclass
@@ -154,6 +160,8 @@ class Item:
     words: np.ndarray
     masks: dict[int, int]
     answer: frozenset[int]
+    bytes: np.ndarray  # where the presence map tells of each word
+    bits: np.ndarray
 
 
 def make_items(rows: list[tuple[int, str]], space: Space) -> list[Item]:
@@ -172,7 +180,8 @@ def make_items(rows: list[tuple[int, str]], space: Space) -> list[Item]:
         else:
             distinct = np.unique(w)
             answer = distinct[np.argsort(-space.idf[distinct >> np.uint32(32 - BUCKET_BITS)], kind="stable")[: max(1, len(distinct) // 4)]]
-        out.append(Item(i, w, masks, frozenset(answer.tolist())))
+        place = (w % np.uint32(SEEN_BITS)).astype(np.int64)
+        out.append(Item(i, w, masks, frozenset(answer.tolist()), place >> 3, (128 >> (place & 7)).astype(np.uint8)))
     return out
 
 
@@ -194,7 +203,11 @@ def window_of(n: int) -> int:
 
 
 class Finder:
-    """Compares all windows of texts with a block of items."""
+    """Compares all windows of texts with a block of items.
+
+    A window that is near an item by cosine is looked up in the presence map of its words and those around it, which
+    can only say too many of the item's words are there; what passes is compared word by word.
+    """
 
     def __init__(self, space: Space, items: list[Item]):
         self.fold, self.items = space.fold, items
@@ -223,18 +236,31 @@ class Finder:
         starts = np.repeat(first, cells) + inside * c
         sums = np.add.reduceat(self.fold[flat >> np.uint32(32 - BUCKET_BITS)], starts, axis=0)
         before = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
+        present = np.zeros((len(sums) + 1, SEEN_BITS), bool)
+        present[np.repeat(np.arange(len(sums)), np.minimum(c, np.repeat(first + sizes, cells) - starts)), flat % np.uint32(SEEN_BITS)] = True
+        around, reach = np.packbits(present, axis=1), 1  # of `reach` cells from each cell on
         best: dict[tuple[int, int], tuple] = {}
-        for w, (own, unit) in self.by.items():
+        for w, (own, unit) in sorted(self.by.items()):
             step = w // 2 // c
+            while reach < 4 * step:
+                around[: max(0, len(around) - reach)] |= around[reach:].copy()
+                reach *= 2
             count = np.where(cells > 0, np.maximum(1, -(-cells // step) - 1), 0)
             doc = np.repeat(np.arange(len(docs)), count)
             a = cell0[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * step
             b = np.minimum(a + 2 * step, cell0[doc] + cells[doc])
             x = self._unit((before[b] - before[a]).astype(np.float32))
-            for k in range(0, len(x), 4096):
-                cosine = x[k : k + 4096] @ unit.T
-                for p, q in zip(*np.nonzero(cosine >= COSINE)):
-                    self._check(best, docs, int(doc[k + p]), (int(a[k + p]) - int(cell0[doc[k + p]])) * c, w, self.items[own[q]], float(cosine[p, q]))
+            seen = around[np.maximum(a - step, 0)]
+            for k in range(0, len(x), 16384):
+                cosine = unit @ x[k : k + 16384].T
+                for q, row in enumerate(cosine):
+                    (p,) = np.nonzero(row >= COSINE)
+                    if not len(p):
+                        continue
+                    item = self.items[own[q]]
+                    shared = (seen[(p + k)[:, None], item.bytes[None, :]] & item.bits[None, :]) != 0
+                    for i in p[shared.sum(axis=1) >= SHARE * len(item.words)].tolist():
+                        self._check(best, docs, int(doc[k + i]), (int(a[k + i]) - int(cell0[doc[k + i]])) * c, w, item, float(row[i]))
         return [(d, i, *v) for (d, i), v in best.items()]
 
     def _check(self, best: dict, docs: list[np.ndarray], d: int, at: int, w: int, item: Item, cosine: float) -> None:
