@@ -20,6 +20,9 @@ SKETCH = [f"s{i}" for i in range(8)]  # 512 parity bits
 REMEMBERED = 500_000
 #: Groups of up to so many candidates are compared in a join, larger ones block by block.
 BLOCK = 64
+#: Bits of the maps that tell which keys and documents may be candidates: a fixed size whatever the input's. They only
+#: spare work: a full map lets everything pass, and joins decide.
+MAP_BITS = 1 << 26
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -140,13 +143,49 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(apply, f"doc long, n long, hi long, lo long, {', '.join(f'{c} long' for c in SKETCH)}, keys array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _bit_map(positions: DataFrame) -> np.ndarray:
+    """MAP_BITS bits with those of (p) set, OR-ed by Spark; at most MAP_BITS / 64 rows come back."""
+    words = positions.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def _set_bits(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _met(sigs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Signatures with only those keys that may be in `keys`; rows left without one are gone."""
+    sent = sigs.sparkSession.sparkContext.broadcast(_bit_map(keys.select(F.expr(f"key & {MAP_BITS - 1}").alias("p"))))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(b.num_columns - 1)
+            at = own.offsets.to_numpy().astype(np.int64)
+            flat = own.values.to_numpy()[at[0] : at[-1]]
+            at = at - at[0]
+            (k,) = np.nonzero(_set_bits(sent.value, flat & (MAP_BITS - 1)))
+            n = np.diff(np.searchsorted(k, at))
+            keep = pa.array(n > 0)
+            left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[n > 0])]).astype(np.int32)), pa.array(flat[k]))
+            yield pa.RecordBatch.from_arrays([*[c.filter(keep) for c in b.columns[:-1]], left], names=b.schema.names)
+
+    return sigs.mapInArrow(apply, sigs.schema)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc, set) of the documents in ids (doc), and of few others, without moving texts."""
+    place = F.expr(f"xxhash64(doc) & {MAP_BITS - 1}").alias("p")
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(ids.select(place)))
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
         for b in batches:
+            b = b.filter(pa.array(_set_bits(sent.value, b.column(2).to_numpy())))
             yield pa.RecordBatch.from_pydict({"doc": b.column(0), "set": pa.array([shingle(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(apply, "doc long, set array<long>")
+    return docs.where("doc is not null").select("doc", "text", place).mapInArrow(apply, "doc long, set array<long>")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -159,7 +198,7 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets, taken anew from the whole texts, link."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = cut(_sets(docs.join(ids, "doc", "left_semi").select("doc", "text"), k), "sets")
+    sets = cut(_sets(docs, ids, k), "sets")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b").distinct()
@@ -207,13 +246,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     sigs = cut(_signatures(rows, k, percent), "signatures")
     own = sigs.where("doc is not null and n > 0")
     reps = cut(own.groupBy("hi", "lo", "n").agg(F.min("doc").alias("rep")), "sets-once")
-    first = own.join(reps, ["hi", "lo", "n"]).where("doc = rep").dropDuplicates(["hi", "lo", "n"])
-    slim = cut(first.select("doc", "n", *SKETCH, "keys"), "sketches")
-    keyed = slim.select(F.explode("keys").alias("key"), "doc")
-    several = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("lead")).where("c > 1")
-    members = cut(keyed.join(several, "key"), "candidates")
-    slim = slim.drop("keys").join(members.select("doc").distinct(), "doc", "left_semi")
-    slim = cut(slim, "sketches-met")
+    keyed = own.select(F.explode("keys").alias("key"), "doc")
+    several = cut(keyed.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead <> last").select("key", "lead"), "keys-met")
+    folded = _met(own, several).join(reps, ["hi", "lo", "n"]).where("doc = rep").dropDuplicates(["hi", "lo", "n"])
+    folded = cut(folded.select("doc", "n", *SKETCH, "keys"), "sketches")
+    slim = folded.drop("keys")
+    members = cut(folded.select(F.explode("keys").alias("key"), "doc").join(several, "key"), "candidates")
 
     def checked(pairs: DataFrame) -> DataFrame:
         a, b = slim.alias("x"), slim.alias("y")
