@@ -77,6 +77,22 @@ def _slices(column: pa.Array, size: int = 150_000) -> Iterator[tuple[int, list[n
         yield first, held
 
 
+def _cell_sums(table: np.ndarray, rows: np.ndarray, places: np.ndarray, cells: int, size: int) -> np.ndarray:
+    """Sums of table[rows] over cells of `size` places; places without a row count as zero."""
+    padded = np.full(cells * size, len(table), np.int64)
+    padded[places] = rows
+    wide = np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)])
+    out = np.empty((cells, table.shape[1]), np.float32)
+    grid = padded.reshape(cells, size)
+    for k in range(0, cells, step := max(1, 16384 // size)):
+        part = grid[k : k + step]
+        acc = wide[part[:, 0]]
+        for j in range(1, size):
+            acc += wide[part[:, j]]
+        out[k : k + step] = acc
+    return out
+
+
 def _test_matrix() -> np.ndarray:
     return np.random.default_rng(7).standard_normal((BUCKETS, RANK)).astype(np.float32)
 
@@ -102,7 +118,7 @@ def fit_space(words: DataFrame) -> Space:
     per = BUCKETS // BLOCKS
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, s, df, n = _test_matrix(), np.zeros((BUCKETS, RANK), np.float32), np.zeros(BUCKETS), 0
+        r, s, df, n = _test_matrix(), np.zeros((RANK, BUCKETS)), np.zeros(BUCKETS), 0
         for b in batches:
             for _, docs in _slices(b.column(0)):
                 sizes = np.array([len(d) for d in docs])
@@ -113,17 +129,17 @@ def fit_space(words: DataFrame) -> Space:
                 n += int(count.sum())
                 inside = np.arange(len(bucket)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 passage = np.repeat(np.cumsum(count) - count, sizes) + inside // PASSAGE
-                y = np.add.reduceat(r[bucket], np.nonzero(np.diff(passage, prepend=-1))[0], axis=0)
+                y = _cell_sums(r, bucket, passage * PASSAGE + inside % PASSAGE, int(count.sum()), PASSAGE)
+                for j, column in enumerate(np.ascontiguousarray(y.T)):
+                    s[j] += np.bincount(bucket, column[passage], BUCKETS)
                 order = np.argsort(bucket, kind="stable")
                 by = bucket[order]
-                starts = np.nonzero(np.diff(by.astype(np.int32), prepend=-1))[0]
-                s[by[starts]] += np.add.reduceat(y[passage[order]], starts, axis=0)
                 pair = by.astype(np.int64) << 32 | passage[order]
                 df += np.bincount(by[np.concatenate([[True], pair[1:] != pair[:-1]])], minlength=BUCKETS)
         if n:
             part = TaskContext.get().partitionId()
             for k in range(BLOCKS):
-                yield pa.RecordBatch.from_pydict({"block": [k], "part": [part], "n": [n], "s": [s[k * per : (k + 1) * per].tobytes()], "df": [df[k * per : (k + 1) * per].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"block": [k], "part": [part], "n": [n], "s": [np.ascontiguousarray(s[:, k * per : (k + 1) * per].T, np.float32).tobytes()], "df": [df[k * per : (k + 1) * per].tobytes()]})
 
     def add(t: pa.Table) -> pa.Table:
         s = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in t.column("s"))
@@ -234,7 +250,8 @@ class Finder:
         cell0 = np.cumsum(cells) - cells
         inside = np.arange(int(cells.sum())) - np.repeat(cell0, cells)
         starts = np.repeat(first, cells) + inside * c
-        sums = np.add.reduceat(self.fold[flat >> np.uint32(32 - BUCKET_BITS)], starts, axis=0)
+        place = np.repeat(cell0 * c, sizes) + np.arange(len(flat)) - np.repeat(first, sizes)
+        sums = _cell_sums(self.fold, flat >> np.uint32(32 - BUCKET_BITS), place, len(starts), c)
         before = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
         present = np.zeros((len(sums) + 1, SEEN_BITS), bool)
         present[np.repeat(np.arange(len(sums)), np.minimum(c, np.repeat(first + sizes, cells) - starts)), flat % np.uint32(SEEN_BITS)] = True
