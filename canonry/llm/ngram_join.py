@@ -18,8 +18,8 @@ from canonry.plans.scratch import cut
 
 SKETCH = [f"s{i}" for i in range(8)]  # 512 parity bits
 REMEMBERED = 500_000
-#: Groups of up to so many candidates are compared in a join, larger ones block by block.
-BLOCK = 64
+#: Groups of up to so many candidates are compared pair by pair, larger ones by their differences from a reference set.
+FEW = 64
 #: Bits of the maps that tell which keys and documents may be candidates: a fixed size whatever the input's. They only
 #: spare work: a full map lets everything pass, and joins decide.
 MAP_BITS = 1 << 26
@@ -204,27 +204,44 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return both.where(shared * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b").distinct()
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a large group's blocks in different components that may link; a block pair is a task's unit of work."""
-    cols = ["doc", "comp", "n", *SKETCH]
+def _within(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Certain links and candidates (a, b) of large groups (grp, doc, comp), without comparing all members.
 
-    def apply(t: pa.Table) -> pa.Table:
-        doc, comp, n = (t.column(c).to_numpy() for c in ("doc", "comp", "n"))
-        i, j, side = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("b").to_numpy()
-        x, y = np.nonzero(side == i)[0], np.nonzero(side == j)[0]
-        sk = np.stack([t.column(c).to_numpy() for c in SKETCH], axis=1).view(np.uint64)
-        apart = np.bitwise_count(sk[x][:, None, :] ^ sk[y][None, :, :]).sum(axis=2, dtype=np.int64)
-        total = n[x][:, None] + n[y][None, :]
-        ok = (comp[x][:, None] != comp[y][None, :]) & (apart * (100 + percent) <= total * (100 - percent))
-        ok &= np.minimum(n[x][:, None], n[y][None, :]) * 100 >= np.maximum(n[x][:, None], n[y][None, :]) * percent
-        p, q = np.nonzero(ok)
-        a, b = doc[x[p]], doc[y[q]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    A group has a reference set (the majority elements of some members; any set gives right results), and a member is
+    its difference D from it, elements of its own first. With q = 100 + percent and W = q |D| - (100 - percent) n, two
+    members link exactly when their differences share at least (W + W') / 2q elements. Members whose W is not above
+    the negated smallest W link with the member that has the smallest, and need no comparison with each other. A pair
+    with an outlier shares an element of D, and one among the first |D| - needed + 1 of both: these are joined.
+    """
+    q = 100 + percent
+    sets = _sets(docs, groups.select("doc").distinct(), k)
+    own = cut(groups.join(sets, "doc"), "members")
 
-    blocks = rows.withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
-    dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", *cols)
-    return dealt.groupBy("key", "i", "j").applyInArrow(apply, "a long, b long")
+    def majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grp, offsets = b.column(0).to_numpy(), b.column(1).offsets.to_numpy()
+            flat = b.column(1).values.to_numpy()[offsets[0] : offsets[-1]]
+            of = np.repeat(grp, np.diff(offsets))
+            order = np.argsort(of, kind="stable")
+            of, flat = of[order], flat[order]
+            for g, size in zip(*np.unique(grp, return_counts=True), strict=True):
+                x, count = np.unique(flat[np.searchsorted(of, g) : np.searchsorted(of, g, "right")], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"grp": pa.array([g], pa.int64()), "size": pa.array([size], pa.int64()), "ref": pa.array([x[2 * count > size]], pa.list_(pa.int64()))})
+
+    refs = own.select("grp", "set").mapInArrow(majority, "grp long, size long, ref array<long>").groupBy("grp").agg(F.max_by("ref", "size").alias("ref"))
+    own = own.join(refs, "grp").select("grp", "doc", "comp", F.size("set").alias("n"), F.array_sort(F.array_except("set", "ref")).alias("more"), F.array_sort(F.array_except("ref", "set")).alias("less"))
+    own = own.select("grp", "doc", "comp", F.concat("more", "less").alias("d"), (q * (F.size("more") + F.size("less")) - (100 - percent) * F.col("n")).alias("w"))
+    own = cut(own, "differences")
+    hubs = own.groupBy("grp").agg(F.min("w").alias("least"), F.min_by("doc", "w").alias("hub"))
+    own = own.join(hubs, "grp").withColumn("far", F.col("w") + F.col("least") > 0)
+    certain = own.where("not far and doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
+    first = lambda needed: F.explode(F.slice("d", F.lit(1), F.greatest(F.lit(0), F.size("d") + 1 - needed).cast("int"))).alias("e")
+    x = own.where("far").select("grp", "doc", "comp", first(F.ceil((F.col("w") + F.col("least")) / (2 * q)))).alias("x")
+    y = own.select("grp", "doc", "comp", "far", first(F.ceil((F.col("w") - F.col("least") + 1) / (2 * q)))).alias("y")
+    met = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.far") | (F.col("x.doc") < F.col("y.doc"))))
+    pairs = met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    s, t = slim.alias("s"), slim.alias("t")
+    return certain, pairs.join(s, pairs.a == F.col("s.doc")).join(t, pairs.b == F.col("t.doc")).where(_may_link("s", "t", percent)).select("a", "b")
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,7 +254,8 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
 
     Exact: equal sets are folded first; every two linked sets share a key (see bands). Of the sets with one key, each is
     compared with the smallest id. Components of these links are formed, and only keys that still hold several
-    components are compared in full, pairs of one component left out: small groups in a join, large ones in blocks.
+    components are compared further, pairs of one component left out: small groups pair by pair, large ones (those of one smallest id
+    at once) by an index of what sets their members apart (see _within).
     Candidates pass the sketches' bound, then the sets themselves decide.
     """
     spark = docs.sparkSession
@@ -261,13 +279,14 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     star = cut(checked(members.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()), "links")
     comp = connected_components(star, "a", "b").select(F.col("node").alias("doc"), F.col("component").alias("comp"))
     placed = cut(members.select("key", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
-    open_ = cut(placed.join(mixed, "key").join(slim, "doc"), "undecided")
-    x, y = open_.where(f"c <= {BLOCK}").alias("x"), open_.where(f"c <= {BLOCK}").alias("y")
-    small = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    more = cut(small.unionByName(_across(open_.where(f"c > {BLOCK}"), percent)).distinct(), "pairs")
-    more = more.join(star, ["a", "b"], "left_anti")
-    rest = cut(_verify(more, rows, k, percent), "links")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("grp"), F.count("*").alias("c")).where("lo <> hi").select("key", "grp", "c")
+    open_ = cut(placed.join(mixed, "key"), "undecided")
+    small = open_.where(f"c <= {FEW}").join(slim, "doc")
+    x, y = small.alias("x"), small.alias("y")
+    few = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    certain, many = _within(open_.where(f"c > {FEW}").select("grp", "doc", "comp").distinct(), slim, rows, k, percent)
+    more = cut(few.unionByName(many).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    rest = cut(_verify(more, rows, k, percent).unionByName(certain), "links")
     final = connected_components(star.unionByName(rest), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     named = reps.join(final, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc", "n", "hi", "lo").join(named, ["hi", "lo", "n"], "left")
