@@ -182,6 +182,25 @@ def test_components_brute_force(spark, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("k,percent,edits", [(3, 90, 6), (5, 80, 9), (1, 80, 16)])
+def test_large_groups_of_near_copies(spark, k, percent, edits, monkeypatch):
+    """Groups far beyond FEW, in two versions, whose members link with some of the others only."""
+    rng = np.random.default_rng(edits)
+    rows = []
+    for version in range(2):
+        base = [f"t{x}" for x in range(120)]
+        base[40:46] = [f"v{version}{x}" for x in range(6)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.integers(1, edits)):
+                w[rng.integers(0, len(w))] = f"e{rng.integers(0, 400)}"
+            rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(ngram_join, "FEW", 8)
+    want = brute_components(rows, k, percent)
+    assert 1 < len({c for *_, c in want}) < len(rows)
+    assert {tuple(r) for r in ngram_join.components(frame(spark, rows), k, percent).collect()} == want
+
+
 def test_odd_rows_components(spark):
     got = {r.doc_id: r for r in ngram_join.components(frame(spark, ODD), 3, 90).collect()}
     assert got[7].component_id == 6 and got[5].component_id == 4 and got[1].component_id == 1 and got[None].component_id is None
