@@ -228,11 +228,11 @@ def _within(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent
                 x, count = np.unique(flat[np.searchsorted(of, g) : np.searchsorted(of, g, "right")], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"grp": pa.array([g], pa.int64()), "size": pa.array([size], pa.int64()), "ref": pa.array([x[2 * count > size]], pa.list_(pa.int64()))})
 
-    refs = own.select("grp", "set").mapInArrow(majority, "grp long, size long, ref array<long>").groupBy("grp").agg(F.max_by("ref", "size").alias("ref"))
+    refs = cut(own.select("grp", "set").mapInArrow(majority, "grp long, size long, ref array<long>").groupBy("grp").agg(F.max_by("ref", "size").alias("ref")), "references")
     own = own.join(refs, "grp").select("grp", "doc", "comp", F.size("set").alias("n"), F.array_sort(F.array_except("set", "ref")).alias("more"), F.array_sort(F.array_except("ref", "set")).alias("less"))
     own = own.select("grp", "doc", "comp", F.concat("more", "less").alias("d"), (q * (F.size("more") + F.size("less")) - (100 - percent) * F.col("n")).alias("w"))
     own = cut(own, "differences")
-    hubs = own.groupBy("grp").agg(F.min("w").alias("least"), F.min_by("doc", "w").alias("hub"))
+    hubs = cut(own.groupBy("grp").agg(F.min("w").alias("least"), F.min_by("doc", "w").alias("hub")), "hubs")
     own = own.join(hubs, "grp").withColumn("far", F.col("w") + F.col("least") > 0)
     certain = own.where("not far and doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
     first = lambda needed: F.explode(F.slice("d", F.lit(1), F.greatest(F.lit(0), F.size("d") + 1 - needed).cast("int"))).alias("e")
