@@ -11,7 +11,6 @@ PUNCTUATION = " {}[]()-=+.;,/?'\"`~!@#$%^&*【】（），。/；？•‘“”
 PUNCTUATION_CLASS = "[" + "".join("\\" + c if c in "\\^]-[" else c for c in PUNCTUATION) + "]"
 NUMBER = r"\d+(\.\d+%{0,1}){0,1}"
 SUFFIX = "#****#"
-LONGEST_TOKEN = 64
 
 
 def r4(x: Column) -> Column:
@@ -37,10 +36,20 @@ def tokens(value: Column) -> Column:
     return F.filter(F.split(value, PUNCTUATION_CLASS), lambda t: t != "")
 
 
-def substrings(token: Column) -> Column:
-    """Every substring of a token, with multiplicity; it is cut after LONGEST_TOKEN characters, as their number is quadratic."""
-    t = F.substring(token, 1, LONGEST_TOKEN)
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.transform(F.sequence(F.lit(1), F.length(t) - i + 1), lambda n: F.substring(t, i, n))))
+def substrings(token: Column, longest: Column) -> Column:
+    """Every substring of a token of at most `longest` characters, with multiplicity."""
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length(token) - i + 1, longest)), lambda n: F.substring(token, i, n))))
+
+
+def explode_pieces(rows: DataFrame, token: str, lengths: Column | None = None) -> DataFrame:
+    """rows with `piece`, a row for every substring of the token, or for those of `lengths`.
+
+    The number of substrings is quadratic in the token's length, so no row ever holds them: starts and lengths are rows.
+    """
+    left = F.length(token) - F.col("__i") + 1
+    each = F.sequence(F.lit(1), left) if lengths is None else F.filter(lengths, lambda n: n <= left)
+    starts = rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.length(token))))
+    return starts.withColumn("__n", F.explode(each)).withColumn("piece", F.substring(F.col(token), F.col("__i"), F.col("__n"))).drop("__i", "__n")
 
 
 def char_pieces(values: DataFrame, weighted: bool = True) -> DataFrame:
@@ -49,8 +58,7 @@ def char_pieces(values: DataFrame, weighted: bool = True) -> DataFrame:
     weighted: lower-cased, an occurrence counts freq times; otherwise case stays and each value counts once.
     """
     text = F.lower("value") if weighted else F.col("value")
-    pieces = F.flatten(F.transform(tokens(text), substrings))
-    each = values.select(*GROUP, "value", "freq", F.explode(pieces).alias("piece"))
+    each = explode_pieces(values.select(*GROUP, "value", "freq", F.explode(tokens(text)).alias("token")), "token")
     n = F.sum("freq") if weighted else F.count("*")
     return each.groupBy(*GROUP, "value", "piece").agg(n.alias("cnt"))
 
@@ -61,10 +69,11 @@ def words(values: DataFrame) -> DataFrame:
 
 
 def contained_words(values: DataFrame) -> DataFrame:
-    """(attr, con, word, piece): the group's words that each of its words contains, as an equi-join on substrings."""
+    """(attr, con, word, piece): the group's words that each of its words contains, as an equi-join on substrings of the lengths that words have."""
     vocabulary = words(values).select(*GROUP, "word").distinct()
-    subs = vocabulary.select(*GROUP, "word", F.explode(F.array_distinct(substrings(F.col("word")))).alias("piece"))
-    return subs.join(vocabulary.withColumnRenamed("word", "piece"), [*GROUP, "piece"]).select(*GROUP, "word", "piece")
+    lengths = vocabulary.agg(F.collect_set(F.length("word")).alias("lengths"))
+    subs = explode_pieces(vocabulary.crossJoin(F.broadcast(lengths)), "word", F.col("lengths"))
+    return subs.join(vocabulary.withColumnRenamed("word", "piece"), [*GROUP, "piece"]).select(*GROUP, "word", "piece").distinct()
 
 
 def word_pieces(values: DataFrame) -> DataFrame:
@@ -77,7 +86,8 @@ def subsequence_expand(value: Column, mode: str = "l2s", longest: int = 509) ->
     if mode not in ("l2s", "s2l"):
         raise ValueError("mode is l2s or s2l")
     parts = F.filter(F.split(value, r"[^\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x20-\x7F]"), lambda t: t != "")
-    subs = F.flatten(F.transform(parts, substrings))
+    room = F.lit(longest) - 5 - F.length(value)  # no longer substring is ever taken
+    subs = F.when(room < 1, F.array().cast("array<string>")).otherwise(F.flatten(F.transform(parts, lambda t: substrings(t, room))))
     order = F.lit(-1) if mode == "l2s" else F.lit(1)
     ranked = F.array_sort(F.transform(F.array_distinct(subs), lambda s: F.struct((order * F.length(s)).alias("n"), s.alias("s"))))
     items = F.transform(ranked, lambda x: x["s"])
