@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from canonry.llm.common import small_batches
 from canonry.plans.scratch import cut
 
-#: A chunk ends at white space where the top five bits of the gear hash of the 32 bytes before are below CUT.
-CUT = 7
-#: Two neighbouring chunks make a unit; units of fewer words say nothing alone. A passage has at least so many words.
+#: A chunk ends after a word whose gear hash is the least of some WINDOW neighbouring words, so it has WINDOW words at most.
+WINDOW = 4
+#: A unit has two chunks at least and as many as it takes to UNIT_WORDS. A passage has at least so many words.
 UNIT_WORDS, PASSAGE_WORDS = 5, 20
 
 
@@ -29,9 +29,11 @@ GEAR = _gear()
 
 
 def chunk_ends(data: np.ndarray) -> np.ndarray:
-    """Where chunks of these bytes end (the last end is the length); an end depends on the 32 bytes before it alone.
+    """Where chunks of these bytes end (the last end is the length); each chunk has a word, unless there is none at all.
 
-    The gear hash of position i is the sum of GEAR[byte] << distance over the last 32 bytes, formed by doubling.
+    The gear hash of position i is the sum of GEAR[byte] << distance over the last 32 bytes, formed by doubling. Of every
+    WINDOW neighbouring words the last of those with the least hash ends a chunk, so an end depends on the WINDOW - 1
+    words on either side and the 32 bytes before them, and no more than WINDOW words are without an end.
     """
     n = len(data)
     if not n:
@@ -41,8 +43,24 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
         if n > k:
             h[k:] = h[k:] + (h[:-k] << np.uint32(k))
     space = (data == 32) | ((data >= 9) & (data <= 13))
-    ends = np.nonzero(space & ((h >> np.uint32(27)) < CUT))[0] + 1
-    return ends if len(ends) and ends[-1] == n else np.append(ends, n)
+    (after,) = np.nonzero(space[1:] & ~space[:-1])
+    after += 1
+    key = h[after]
+    count = len(after) - WINDOW + 1
+    if count < 1:
+        return np.array([n])
+    least, at = key[:count].copy(), np.arange(count)
+    for k in range(1, WINDOW):
+        lower = key[k : k + count] <= least
+        at[lower] = np.nonzero(lower)[0] + k
+        least = np.minimum(least, key[k : k + count])
+    taken = np.zeros(len(after), bool)
+    taken[at] = True
+    ends = after[taken] + 1
+    if not space[ends[-1] :].all():
+        return np.append(ends, n)
+    ends[-1] = n
+    return ends
 
 
 def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,28 +82,42 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d, chars.astype(np.int32), np.diff(words, prepend=0).astype(np.int32)
 
 
+def unit_ends(words: np.ndarray) -> np.ndarray:
+    """For each chunk the end (last chunk + 1) of the unit that starts with it; 0 if the text ends before the unit does."""
+    upto = np.cumsum(words)
+    end = np.maximum(np.searchsorted(upto, upto - words + UNIT_WORDS) + 1, np.arange(len(words)) + 2)
+    end[end > len(words)] = 0
+    if len(words) == 1 and words[0] >= UNIT_WORDS:
+        end[0] = 1
+    return end
+
+
 def units(d: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(digest, words) of every unit: a chunk and the next one. A text of one chunk is one unit."""
-    if len(d) < 2:
-        return d, words
-    with np.errstate(over="ignore"):
-        x = d[:-1] * np.uint64(0x9E3779B97F4A7C15) + d[1:]
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32)), words[:-1] + words[1:]
-
-
-def runs(repeated: dict[int, int], small: np.ndarray, words: np.ndarray, least: int = PASSAGE_WORDS) -> Iterator[tuple[int, int, int, int]]:
-    """(first chunk, last chunk + 1, words, source) of runs of repeated units; small units between repeated ones count as repeated."""
-    at = sorted(repeated)
+    """(digest, first chunk) of every unit: a chunk and the next ones, two at least, until there are UNIT_WORDS. A text of one chunk is one unit."""
+    end = unit_ends(words)
+    (at,) = np.nonzero(end)
+    x = d[at].astype(np.uint64)
+    left = end[at] - at - 1
+    for k in range(1, int(left.max(initial=0)) + 1):
+        (more,) = np.nonzero(left >= k)
+        y = x[more] * np.uint64(0x9E3779B97F4A7C15) + d[at[more] + k]
+        y = (y ^ (y >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x[more] = y ^ (y >> np.uint64(32))
+    return x, at
+
+
+def runs(repeated: dict[int, int], words: np.ndarray, least: int = PASSAGE_WORDS) -> Iterator[tuple[int, int, int, int]]:
+    """(first chunk, last chunk + 1, words, source) of runs of repeated units."""
+    at, ends = sorted(repeated), unit_ends(words)
     k = 0
     while k < len(at):
         a = b = at[k]
-        while k + 1 < len(at) and (at[k + 1] == b + 1 or small[b + 1 : at[k + 1]].all()):
+        while k + 1 < len(at) and at[k + 1] == b + 1:
             k += 1
             b = at[k]
-        end = min(b + 2, len(words))
+        end = int(ends[b])
         if (n := int(words[a:end].sum())) >= least:
-            yield a, end, n, Counter(repeated[i] for i in range(a, b + 1) if i in repeated).most_common(1)[0][0]
+            yield a, end, n, Counter(repeated[i] for i in range(a, b + 1)).most_common(1)[0][0]
         k += 1
 
 
@@ -107,9 +139,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             u, pos, ends, words = [], [], [], []
             for text in b.column(1).to_pylist():
                 d, c, w = chunks(text)
-                x, n = units(d, w)
-                (k,) = np.nonzero(n >= UNIT_WORDS)
-                u.append(x[k].view(np.int64))
+                x, k = units(d, w)
+                u.append(x.view(np.int64))
                 pos.append(k.astype(np.int32))
                 ends.append(c.tobytes())
                 words.append(w.tobytes())
@@ -120,10 +151,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = []
             for r in b.to_pylist():
                 words, ends = np.frombuffer(r["words"], np.int32), np.frombuffer(r["ends"], np.int32)
-                small = np.zeros(len(words), bool)
-                if len(words) > 1:
-                    small[:-1] = words[:-1] + words[1:] < UNIT_WORDS
-                for a, e, n, src in runs({h["pos"]: h["first"] for h in r["hits"]}, small, words, least):
+                for a, e, n, src in runs({h["pos"]: h["first"] for h in r["hits"]}, words, least):
                     out.append((r["doc"], int(ends[a - 1]) if a else 0, int(ends[e - 1]), n, src))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "start", "end", "n_words", "first_doc_id"), cols)})
