@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -221,8 +222,9 @@ def window_of(n: int) -> int:
 class Finder:
     """Compares all windows of texts with a block of items.
 
-    A window that is near an item by cosine is looked up in the presence map of its words and those around it, which
-    can only say too many of the item's words are there; what passes is compared word by word.
+    A window that is near an item by cosine, or holds one of its key words, is looked up in the presence map of its words
+    and those around it, which can only say too many of the item's words are there; what passes is compared word by word.
+    Key words are so many of the rarest that no text with SHARE of the item's words is without one, whatever stands around.
     """
 
     def __init__(self, space: Space, items: list[Item]):
@@ -233,12 +235,45 @@ class Finder:
         for w, (own, _) in self.by.items():
             x = np.stack([self.fold[items[k].words >> np.uint32(32 - BUCKET_BITS)].sum(axis=0) for k in own])
             self.by[w] = (own, self._unit(x))
+        self.keys = {w: self._keys(space, own) for w, (own, _) in self.by.items()}
         self.cell = min(self.by, default=SMALLEST_WINDOW) // 2
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+    def _keys(self, space: Space, own: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(whether a bucket has a key word, the key words, where each one's items begin, the items' places in own)."""
+        word, place = [], []
+        for q, k in enumerate(own):
+            w = self.items[k].words
+            share = SHARE if len(w) >= LEAST_WORDS else 1.0
+            rare = np.argsort(-space.idf[w >> np.uint32(32 - BUCKET_BITS)], kind="stable")[: len(w) - math.ceil(share * len(w) - 1e-9) + 1]
+            keys = np.unique(w[rare])
+            word.append(keys)
+            place.append(np.full(len(keys), q, np.int64))
+        words, places = np.concatenate(word), np.concatenate(place)
+        order = np.argsort(words, kind="stable")
+        distinct, begin = np.unique(words[order], return_index=True)
+        held = np.zeros(BUCKETS, bool)
+        held[distinct >> np.uint32(32 - BUCKET_BITS)] = True
+        return held, distinct, np.append(begin, len(words)), places[order]
+
+    def _keyed(self, w: int, flat: np.ndarray, bucket: np.ndarray, inside: np.ndarray, window0: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Item's place << 32 | window, ascending, of the two windows around each key word; a word's place in its text, and its text's first window and number of windows, are given."""
+        held, distinct, begin, places = self.keys[w]
+        (at,) = np.nonzero(held[bucket])
+        k = np.minimum(np.searchsorted(distinct, flat[at]), len(distinct) - 1)
+        same = distinct[k] == flat[at]
+        at, k = at[same], k[same]
+        window = inside[at] // (w // 2)
+        both = [(window0[at] + np.clip(window - j, 0, count[at] - 1)) << np.int64(32) | k for j in (0, 1)]
+        pair = np.unique(np.concatenate(both))
+        window, k = pair >> np.int64(32), pair & 0xFFFFFFFF
+        n = begin[k + 1] - begin[k]
+        item = places[np.repeat(begin[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        return np.unique(item << np.int64(32) | np.repeat(window, n))
+
     def find(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, float, float]]:
         """(document's index, item_id, first word, last word + 1, share of the item, cosine), the best window of each pair."""
         sizes = np.array([len(d) for d in docs])
@@ -250,8 +285,10 @@ class Finder:
         cell0 = np.cumsum(cells) - cells
         inside = np.arange(int(cells.sum())) - np.repeat(cell0, cells)
         starts = np.repeat(first, cells) + inside * c
-        place = np.repeat(cell0 * c, sizes) + np.arange(len(flat)) - np.repeat(first, sizes)
-        sums = _cell_sums(self.fold, flat >> np.uint32(32 - BUCKET_BITS), place, len(starts), c)
+        own_place = np.arange(len(flat)) - np.repeat(first, sizes)
+        place = np.repeat(cell0 * c, sizes) + own_place
+        bucket = flat >> np.uint32(32 - BUCKET_BITS)
+        sums = _cell_sums(self.fold, bucket, place, len(starts), c)
         before = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
         present = np.zeros((len(sums) + 1, SEEN_BITS), bool)
         present[np.repeat(np.arange(len(sums)), np.minimum(c, np.repeat(first + sizes, cells) - starts)), flat % np.uint32(SEEN_BITS)] = True
@@ -268,10 +305,14 @@ class Finder:
             b = np.minimum(a + 2 * step, cell0[doc] + cells[doc])
             x = self._unit((before[b] - before[a]).astype(np.float32))
             seen = around[np.maximum(a - step, 0)]
+            keyed = self._keyed(w, flat, bucket, own_place, np.repeat(np.cumsum(count) - count, sizes), np.repeat(count, sizes))
             for k in range(0, len(x), 16384):
                 cosine = unit @ x[k : k + 16384].T
+                near = cosine >= COSINE
+                part = keyed[(keyed & 0xFFFFFFFF) // 16384 == k // 16384]
+                near[part >> np.int64(32), (part & 0xFFFFFFFF) - k] = True
                 for q, row in enumerate(cosine):
-                    (p,) = np.nonzero(row >= COSINE)
+                    (p,) = np.nonzero(near[q])
                     if not len(p):
                         continue
                     item = self.items[own[q]]
