@@ -93,7 +93,10 @@ def unit_ends(words: np.ndarray) -> np.ndarray:
 
 
 def units(d: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(digest, first chunk) of every unit: a chunk and the next ones, two at least, until there are UNIT_WORDS. A text of one chunk is one unit."""
+    """(digest, first chunk) of every unit: a chunk and the next ones, two at least, until there are UNIT_WORDS.
+
+    The first chunks are 0, 1, 2 and so on, up to where too few words are left. A text of one chunk is one unit.
+    """
     end = unit_ends(words)
     (at,) = np.nonzero(end)
     x = d[at].astype(np.uint64)
@@ -128,41 +131,40 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in the same document. A passage is a run of repeated units of at least `least` words; it is found to within the
     chunks at its two ends. Null and empty texts have no passage. A null doc_id takes no part. Rows that repeat a
     doc_id with equal text are one document, of rows with different texts under one id the longest counts. Other
-    columns are ignored; no rows give no rows. A digest that very many documents share is counted with partial
-    aggregation and joined with splitting of skewed keys; a document's own units are all that is ever gathered.
+    columns are ignored; no rows give no rows. Units are dealt out once, for the count and the join; the
+    rows of a unit that very many documents share go to one task, which streams them. A document's own units are all that
+    is ever gathered.
     """
     spark = docs.sparkSession
     small_batches(spark)
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u, pos, ends, words = [], [], [], []
+            u, sizes, words = [], [], []
             for text in b.column(1).to_pylist():
                 d, c, w = chunks(text)
-                x, k = units(d, w)
-                u.append(x.view(np.int64))
-                pos.append(k.astype(np.int32))
-                ends.append(c.tobytes())
-                words.append(w.tobytes())
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "unit": pa.array(u, pa.list_(pa.int64())), "pos": pa.array(pos, pa.list_(pa.int32())), "ends": pa.array(ends, pa.binary()), "words": pa.array(words, pa.binary())})
+                u.append(units(d, w)[0].view(np.int64))
+                sizes.append(np.diff(c, prepend=0).astype(np.int32).tobytes())
+                words.append(w.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "unit": pa.array(u, pa.list_(pa.int64())), "sizes": pa.array(sizes, pa.binary()), "words": pa.array(words, pa.binary())})
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                words, ends = np.frombuffer(r["words"], np.int32), np.frombuffer(r["ends"], np.int32)
+                words, ends = np.frombuffer(r["words"], np.uint8).astype(np.int32), np.cumsum(np.frombuffer(r["sizes"], np.int32))
                 for a, e, n, src in runs({h["pos"]: h["first"] for h in r["hits"]}, words, least):
                     out.append((r["doc"], int(ends[a - 1]) if a else 0, int(ends[e - 1]), n, src))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "start", "end", "n_words", "first_doc_id"), cols)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null and text <> ''")
-    table = cut(rows.mapInArrow(chunked, "doc long, unit array<long>, pos array<int>, ends binary, words binary"), "chunks")
-    each = table.select("doc", F.explode(F.arrays_zip("unit", "pos")).alias("x")).select("doc", F.col("x.unit").alias("unit"), F.col("x.pos").alias("pos"))
+    table = cut(rows.mapInArrow(chunked, "doc long, unit array<long>, sizes binary, words binary"), "chunks")
+    each = table.select("doc", F.posexplode("unit").alias("pos", "unit")).where("doc is not null and pos is not null and unit is not null").repartition("unit")
     firsts = each.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("at")).where("n > 1").select("unit", "at")
-    hits = each.join(firsts, "unit").where("doc <> at.doc or pos <> at.pos").groupBy("doc").agg(F.collect_set(F.struct("pos", F.col("at.doc").alias("first"))).alias("hits"))
-    own = table.select("doc", "ends", "words").join(hits.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.max_by(F.struct("ends", "words"), F.length("ends")).alias("own"))
-    found = hits.join(own, "doc").select("doc", "hits", "own.ends", "own.words")
+    hits = cut(each.join(firsts, "unit").where("doc <> at.doc or pos <> at.pos").groupBy("doc").agg(F.collect_set(F.struct("pos", F.col("at.doc").alias("first"))).alias("hits")), "hits")
+    own = table.select("doc", "sizes", "words").join(hits.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.max_by(F.struct("sizes", "words"), F.length("sizes")).alias("own"))
+    found = hits.join(own, "doc").select("doc", "hits", "own.sizes", "own.words")
     return found.mapInArrow(passages, "doc_id long, start long, end long, n_words long, first_doc_id long")
 
 
