@@ -139,8 +139,8 @@ def elbow(inertias: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(F.max_by(F.when(F.col("d") < 0, F.col("k") + 1).otherwise(F.col("k")), F.struct(F.abs("d").alias("a"), (-F.col("k")).alias("b"))).alias("k"))
 
 
-def kmeans_elbow(embeddings: DataFrame, largest: int = 8, seed: int = 42) -> DataFrame:
-    """(value, cluster) of one group of (value, embedding) by KMeans with the k of the elbow."""
+def kmeans_elbow(embeddings: DataFrame, largest: int | None = None, seed: int = 42) -> DataFrame:
+    """(value, cluster) of one group of (value, embedding) by KMeans with the k of the elbow, of all k up to the number of values or to `largest`."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -151,10 +151,11 @@ def kmeans_elbow(embeddings: DataFrame, largest: int = 8, seed: int = 42) -> Dat
         return data.select("value", F.lit(0).alias("cluster"))
     e = embeddings.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "x"))
     one = e.groupBy("p").agg(F.var_pop("x").alias("v")).agg(F.sum("v")).first()[0] * n
-    models = {k: KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data) for k in range(2, min(largest, n - 1) + 1)}
-    costs = [(1, float(one))] + [(k, float(m.summary.trainingCost)) for k, m in models.items()]
+    fit = lambda k: KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
+    # the seed gives the same model again, so that not all of them are kept
+    costs = [(1, float(one))] + [(k, float(fit(k).summary.trainingCost)) for k in range(2, min(largest or n, n) + 1)]
     k = elbow(spark.createDataFrame(costs, "k int, inertia double").withColumn("g", F.lit(1)), ["g"]).first()["k"]
-    return models[k].transform(data).select("value", "cluster") if k in models else data.select("value", F.lit(0).alias("cluster"))
+    return fit(k).transform(data).select("value", "cluster") if k > 1 else data.select("value", F.lit(0).alias("cluster"))
 
 
 def star_clusters(values: DataFrame, yes: DataFrame) -> DataFrame:
