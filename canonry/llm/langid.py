@@ -182,14 +182,14 @@ class Model:
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, language) of the spans of a text, by code points; a span ends with its last word."""
-        found = list(WORD.finditer(text or ""))
-        if not found:
+        pieces = [(i, min(i + LONGEST_WORD, m.end())) for m in WORD.finditer(text or "") for i in range(m.start(), m.end(), LONGEST_WORD)]
+        if not pieces:
             return []
-        path = self.path([[m.group().lower()[:LONGEST_WORD] for m in found]])[0]
+        path = self.path([[text[a:b].lower()[:LONGEST_WORD] for a, b in pieces]])[0]
         out: list[tuple[int, int, str]] = []
-        for m, k in zip(found, path):
+        for (a, b), k in zip(pieces, path):
             lang = self.langs[int(k)]
-            out[-1:] = [(out[-1][0], m.end(), lang)] if out and out[-1][2] == lang else [*out[-1:], (m.start(), m.end(), lang)]
+            out[-1:] = [(out[-1][0], b, lang)] if out and out[-1][2] == lang else [*out[-1:], (a, b, lang)]
         return out
 
 
