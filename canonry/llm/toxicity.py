@@ -96,14 +96,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from the documents that labels marks 0 or 1 (other labels and null ids are ignored).
 
     The sample is bounded by `toxic` and `clean`, so one task learns from it, in order of id; a document labelled twice
-    counts twice. Only weights that are not zero come back to the driver.
+    counts twice. Where the classes are sampled at different rates, the bias is set right by the log of their ratio. Only
+    weights that are not zero come back to the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
     own = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     n = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     part = F.shiftrightunsigned(F.xxhash64("i"), 11) / float(1 << 53)
-    sample = own.where(part < F.when(F.col("y") == 1, toxic / max(1, n.get(1, 0))).otherwise(clean / max(1, n.get(0, 0))))
+    rate = {y: min(1.0, most / max(1, n.get(y, 0))) for y, most in ((1, toxic), (0, clean))}
+    shift = float(np.log(rate[0] / rate[1]))
+    sample = own.where(part < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i").select("i", "y", "t")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = rows.repartition(1).mapInArrow(learn, "k long, w double").toArrow()
     k, w = got.column("k").to_numpy(), got.column("w").to_numpy()
-    return Weights(k[k >= 0], w[k >= 0].astype(np.float32), float(w[k < 0][0]) if (k < 0).any() else -3.0)
+    return Weights(k[k >= 0], w[k >= 0].astype(np.float32), float(w[k < 0][0]) + shift if (k < 0).any() else -3.0)
 
 
 def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -163,8 +166,8 @@ def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs, all columns, that are not predicted toxic; a row with a null id stays only if no row with a null id is rejected."""
-    bad = train_and_score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
+    """Rows of docs, all columns, that are not predicted toxic by a model of all labelled rows; a row with a null id stays only if no row with a null id is rejected."""
+    bad = score(docs, fit(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
 
 
