@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canonry.plans.scratch import cut
+from canonry.plans.scratch import cut, discard
 
 
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
     for _ in range(max_rounds):
         if _settled(e, keys):
             break
-        e = cut(_small_star(_large_star(e, keys), keys), "cc")
+        before, e = e, cut(_small_star(_large_star(e, keys), keys), "cc")
+        discard(before)
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct())
