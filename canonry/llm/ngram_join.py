@@ -12,17 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.common import small_batches
+from canonry.llm.common import MAP_BITS, bit_map, set_bits, small_batches, text_hash, without_rows
 from canonry.operators.components import connected_components
-from canonry.plans.scratch import cut
+from canonry.plans.scratch import cut, discard
 
 SKETCH = [f"s{i}" for i in range(8)]  # 512 parity bits
 REMEMBERED = 500_000
 #: Groups of up to so many candidates are compared pair by pair, larger ones by their differences from a reference set.
 FEW = 64
-#: Bits of the maps that tell which keys and documents may be candidates: a fixed size whatever the input's. They only
-#: spare work: a full map lets everything pass, and joins decide.
-MAP_BITS = 1 << 26
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -122,67 +119,156 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Keys that a task deals out at a time, and keys that a task compares at a time.
+DEALT, COMPARED = 1 << 21, 1 << 22
+#: A list of more sets is written in several rows.
+LONGEST_LIST = 1024
+#: A key is a bucket and FP bits; a set goes by the other bits of its entry. Equal entries are equal sets but for hashing.
+SET_BITS = np.uint64(40)
+_SIGNATURE = f"doc long, th long, sid long, n long, hi long, lo long, {', '.join(f'{c} long' for c in SKETCH)}"
+_LISTS = "key long, lead long, whole boolean, met long, tag long, members array<long>"
+_SIGNATURE_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _SIGNATURE.split(", ")])
+_DEALT_ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int64()), *_SIGNATURE_ARROW, ("entries", pa.binary())])
+_MET_ARROW = pa.schema([*_SIGNATURE_ARROW, ("key", pa.int64()), ("lead", pa.int64()), ("whole", pa.bool_()), ("met", pa.int64()), ("tag", pa.int64()), ("members", pa.list_(pa.int64()))])
+
+
+def _batch(schema: pa.Schema, n: int, /, **columns) -> pa.RecordBatch:
+    """A batch with the given columns and nulls elsewhere."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _lists(entries: np.ndarray, bucket: int, whole: bool) -> tuple[dict, np.ndarray]:
+    """Lists of the sets that share a key, of distinct ascending entries of a bucket; and one entry of each key."""
+    fp = entries >> SET_BITS
+    first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+    size = np.diff(np.append(first, len(entries)))
+    (at,) = np.nonzero(size > 1)
+    begin, size = first[at], size[at]
+    sid = entries & ((np.uint64(1) << SET_BITS) - np.uint64(1))
+    n = int(size.sum())
+    flat = sid[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(n)]
+    start = np.cumsum(size) - size
+    tag = np.add.reduceat(_mix(flat * _A + _B), start) if n else np.empty(0, np.uint64)
+    met = np.ones(len(at), np.int64)
+    if whole and n:  # equal lists once
+        _, one, met = np.unique(tag, return_index=True, return_counts=True)
+        begin, size, tag = begin[one], size[one], tag[one]
+    key = (np.int64(bucket) << 24) | fp[begin].astype(np.int64)
+    lead = sid[begin]
+    short = np.full(len(size), whole) & (size <= LONGEST_LIST)
+    rows = -(-size // LONGEST_LIST)  # long lists in several rows
+    nth = np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)
+    begin, length = np.repeat(begin, rows) + nth * LONGEST_LIST, np.minimum(LONGEST_LIST, np.repeat(size, rows) - nth * LONGEST_LIST)
+    flat = sid[np.repeat(begin - np.cumsum(length) + length, length) + np.arange(int(length.sum()))]
+    again = lambda x: np.repeat(x, rows)
+    told = {"key": again(key), "lead": again(lead).astype(np.int64), "whole": again(short), "met": again(met), "tag": again(tag).view(np.int64), "begin": np.append(0, np.cumsum(length)), "flat": flat.astype(np.int64)}
+    return told, entries[first]
+
+
+def _met(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """One pass over rows (doc, text, th): their signatures, and lists of the sets that share a key.
+
+    Keys go to the task of their bucket as sorted numbers of 8 bytes, (key, set); a set that a task meets again sends
+    none. A task goes through its buckets one after the other, in steps of COMPARED keys: of earlier steps it holds one
+    set of each key. So a bucket of many copies is streamed, and what is held is bounded. Lists that fit a step are
+    `whole`; of those with the same sets one is given, `met` tells for how many keys at least.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts * max(1, min(16, 4096 // parts))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
+        held: dict[int, np.ndarray] = {}
+        waiting = 0
+
+        def dealt() -> pa.RecordBatch:
+            keys = np.concatenate(list(held.values()))
+            sid = np.repeat(np.fromiter(held, np.uint64, len(held)), [len(x) for x in held.values()])
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+            entry = (keys & np.uint64(0xFFFFFF)) << SET_BITS | sid
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+            bucket, raw = bucket[order], entry[order].tobytes()
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            of = bucket[first].astype(np.int64)
+            begin = pa.array(np.append(first, len(bucket)).astype(np.int32) * 8)
+            entries = pa.Array.from_buffers(pa.binary(), len(of), [None, begin.buffers()[1], pa.py_buffer(raw)])
+            held.clear()
+            return _batch(_DEALT_ARROW, len(of), part=(of % parts).astype(np.int32), bucket=of, entries=entries)
+
         for b in batches:
-            n, hi, lo, sk, keys = [], [], [], [], []
+            out: dict[str, list] = {c: [] for c in ("sid", "n", "hi", "lo")}
+            sketches = []
             with np.errstate(over="ignore"):
-                for text in b.column(1).to_pylist():
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     h = shingle(text)
-                    n.append(len(h))
-                    hi.append(int(_mix(h).sum(dtype=np.uint64).astype(np.int64)))
-                    lo.append(int(np.bitwise_xor.reduce(_mix(h * _B)).astype(np.int64)) if len(h) else 0)
-                    sk.append(sketch(h))
-                    keys.append(band_keys(h, percent).view(np.int64) if len(h) else np.empty(0, np.int64))
-            sk2 = np.array(sk, np.int64).reshape(len(n), 8)
-            at = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            own = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "n": pa.array(n, pa.int64()), "hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), **{c: pa.array(sk2[:, i]) for i, c in enumerate(SKETCH)}, "keys": own})
-
-    return docs.mapInArrow(apply, f"doc long, n long, hi long, lo long, {', '.join(f'{c} long' for c in SKETCH)}, keys array<long>")
-
-
-def _bit_map(positions: DataFrame) -> np.ndarray:
-    """MAP_BITS bits with those of (p) set, OR-ed by Spark; at most MAP_BITS / 64 rows come back."""
-    words = positions.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return out.view(np.uint64)
-
-
-def _set_bits(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return (bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-
+                    hi, lo = _mix(h).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(h * _B)) if len(h) else np.uint64(0)
+                    sid = int(_mix(_mix(hi + np.uint64(len(h))) ^ lo)) & (1 << 40) - 1
+                    for c, v in zip(out, (sid, len(h), int(hi.astype(np.int64)), int(np.uint64(lo).astype(np.int64)))):
+                        out[c].append(v)
+                    sketches.append(sketch(h))
+                    if len(h) and doc is not None and sid not in held:
+                        held[sid] = band_keys(h, percent)
+                        waiting += len(held[sid])
+            sk = np.array(sketches, np.int64).reshape(len(sketches), 8)
+            yield _batch(_DEALT_ARROW, len(sk), part=np.array(out["sid"], np.int64) % parts, bucket=[-1] * len(sk), doc=b.column(0), th=b.column(2), **out, **{c: sk[:, i] for i, c in enumerate(SKETCH)})
+            if waiting >= DEALT:
+                yield dealt()
+                waiting = 0
+        if held:
+            yield dealt()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, waiting, carried, known = -1, [], 0, None, np.empty(0, np.uint64)
+
+        def compare(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, waiting, carried, known
+            if held:
+                x = np.unique(np.concatenate(held if carried is None else [carried, *held]))
+                told, ones = _lists(x, now, last and carried is None)
+                carried = None if last else ones
+                begin, flat, tag = told.pop("begin"), told.pop("flat"), told["tag"].view(np.uint64)
+                fresh = ~(told["whole"] & np.isin(tag, known))
+                if len(known) > COMPARED:
+                    known = known[:0]
+                known = np.concatenate([known, tag[fresh & told["whole"]]])
+                keep = pa.array(fresh)
+                yield from (
+                    _batch(_MET_ARROW, int(fresh.sum()), members=pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(flat)).filter(keep), **{c: v[fresh] for c, v in told.items()})
+                    .slice(i, 20_000) for i in range(0, int(fresh.sum()), 20_000)
+                )
+                held, waiting = [], 0
+            elif last:
+                carried = None
 
-def _met(sigs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Signatures with only those keys that may be in `keys`; rows left without one are gone."""
-    sent = sigs.sparkSession.sparkContext.broadcast(_bit_map(keys.select(F.expr(f"key & {MAP_BITS - 1}").alias("p"))))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.column(b.num_columns - 1)
-            at = own.offsets.to_numpy().astype(np.int64)
-            flat = own.values.to_numpy()[at[0] : at[-1]]
-            at = at - at[0]
-            (k,) = np.nonzero(_set_bits(sent.value, flat & (MAP_BITS - 1)))
-            n = np.diff(np.searchsorted(k, at))
-            keep = pa.array(n > 0)
-            left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[n > 0])]).astype(np.int32)), pa.array(flat[k]))
-            yield pa.RecordBatch.from_arrays([*[c.filter(keep) for c in b.columns[:-1]], left], names=b.schema.names)
-
-    return sigs.mapInArrow(apply, sigs.schema)
+            bucket = b.column("bucket").to_numpy()
+            own = np.flatnonzero(bucket < 0)
+            if len(own):
+                some = b.take(pa.array(own))
+                yield _batch(_MET_ARROW, len(own), **{c: some.column(c) for c in _SIGNATURE_ARROW.names})
+            for i in np.flatnonzero(bucket >= 0).tolist():
+                if bucket[i] != now:
+                    yield from compare(True)
+                    now = int(bucket[i])
+                held.append(np.frombuffer(b.column("entries")[i].as_buffer(), np.uint64))
+                waiting += len(held[-1])
+                if waiting >= COMPARED:
+                    yield from compare(False)
+        yield from compare(True)
+
+    dealt = rows.select("doc", "text", "th").mapInArrow(deal, f"part int, bucket long, {_SIGNATURE}, entries binary")
+    return dealt.repartitionById(parts, "part").sortWithinPartitions("bucket").mapInArrow(meet, f"{_SIGNATURE}, {_LISTS}")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc, set) of the documents in ids (doc), and of few others, without moving texts."""
     place = F.expr(f"xxhash64(doc) & {MAP_BITS - 1}").alias("p")
-    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(ids.select(place)))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(place)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
         for b in batches:
-            b = b.filter(pa.array(_set_bits(sent.value, b.column(2).to_numpy())))
+            b = b.filter(pa.array(set_bits(sent.value, b.column(2).to_numpy())))
             yield pa.RecordBatch.from_pydict({"doc": b.column(0), "set": pa.array([shingle(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))})
 
     return docs.where("doc is not null").select("doc", "text", place).mapInArrow(apply, "doc long, set array<long>")
@@ -201,7 +287,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     sets = cut(_sets(docs, ids, k), "sets")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b").distinct()
+    out = cut(both.where(shared * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b").distinct(), "links")
+    discard(sets)
+    return out
 
 
 def _within(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -244,59 +332,73 @@ def _within(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent
     return certain, pairs.join(s, pairs.a == F.col("s.doc")).join(t, pairs.b == F.col("t.doc")).where(_may_link("s", "t", percent)).select("a", "b")
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row's whole text.
-
-    Two rows link when 100 * intersection >= percent * union of their sets of k-word shingles; a text of fewer words is
-    one shingle. Texts with equal sets link; null and empty texts have no shingle and link with nothing, their
-    component is their own id. A null doc_id has a null component and links nothing. Of rows that repeat a doc_id each
-    has the component of its text. Other columns are ignored; no rows give no rows.
-
-    Exact: equal sets are folded first; every two linked sets share a key (see bands). Of the sets with one key, each is
-    compared with the smallest id. Components of these links are formed, and only keys that still hold several
-    components are compared further, pairs of one component left out: small groups pair by pair, large ones (those of one smallest id
-    at once) by an index of what sets their members apart (see _within).
-    Candidates pass the sketches' bound, then the sets themselves decide.
-    """
+def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, n, comp) of every row; see components()."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sigs = cut(_signatures(rows, k, percent), "signatures")
-    own = sigs.where("doc is not null and n > 0")
-    reps = cut(own.groupBy("hi", "lo", "n").agg(F.min("doc").alias("rep")), "sets-once")
-    keyed = own.select(F.explode("keys").alias("key"), "doc")
-    several = cut(keyed.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead <> last").select("key", "lead"), "keys-met")
-    folded = _met(own, several).join(reps, ["hi", "lo", "n"]).where("doc = rep").dropDuplicates(["hi", "lo", "n"])
-    folded = cut(folded.select("doc", "n", *SKETCH, "keys"), "sketches")
-    slim = folded.drop("keys")
-    members = cut(folded.select(F.explode("keys").alias("key"), "doc").join(several, "key"), "candidates")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        a, b = slim.alias("x"), slim.alias("y")
-        met = pairs.join(a, pairs.a == F.col("x.doc")).join(b, pairs.b == F.col("y.doc")).where(_may_link("x", "y", percent))
-        return _verify(cut(met.select(pairs.a, pairs.b), "pairs"), rows, k, percent)
-
-    star = cut(checked(members.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()), "links")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), text_hash(text_col).alias("th"))
+    met = cut(_met(rows, k, percent), "signatures")
+    sigs = met.where("n is not null").select("doc", "th", "n", "hi", "lo", "sid", *SKETCH)
+    one = [F.first(c).alias(c) for c in ("sid", *SKETCH)]
+    reps = cut(sigs.where("doc is not null and n > 0").groupBy("hi", "lo", "n").agg(F.min("doc").alias("rep"), *one), "sets-once")
+    slim = reps.select(F.col("rep").alias("doc"), "sid", "n", *SKETCH)
+    lists = met.where("members is not null").select("key", "lead", "whole", "met", "tag", "members")
+    once = lists.where("whole").groupBy("tag", "lead", F.size("members").alias("size")).agg(F.min("key").alias("key"), F.sum("met").alias("met"), F.first("members").alias("members"))
+    cols = ["key", "lead", "met", "members"]
+    some = lists.where("not whole").select(*cols).unionByName(once.select(*cols))
+    named = slim.select("sid", "doc")
+    members = cut(some.select("key", "lead", "met", F.explode("members").alias("sid")).join(named, "sid").select("key", "lead", "met", "doc"), "members")
+
+    # Each set is first compared with the one of its leads that it shares most keys with.
+    pairs = members.groupBy("lead", "doc").agg(F.sum("met").alias("met")).join(named.select(F.col("sid").alias("lead"), F.col("doc").alias("hub")), "lead").where("doc <> hub")
+    x, y = slim.alias("x"), slim.alias("y")
+    likely = pairs.join(x, pairs.hub == F.col("x.doc")).join(y, pairs.doc == F.col("y.doc")).where(_may_link("x", "y", percent)).select(pairs.hub, pairs.doc, pairs.met)
+    best = likely.groupBy("doc").agg(F.max_by("hub", F.struct("met", -F.col("hub"))).alias("hub"))
+    first = cut(best.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "pairs")
+    star = _verify(first, rows, k, percent)
     comp = connected_components(star, "a", "b").select(F.col("node").alias("doc"), F.col("component").alias("comp"))
     placed = cut(members.select("key", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("grp"), F.count("*").alias("c")).where("lo <> hi").select("key", "grp", "c")
-    open_ = cut(placed.join(mixed, "key"), "undecided")
+    open_ = cut(placed.join(mixed, "key").distinct(), "undecided")
+    discard(members, placed)
     small = open_.where(f"c <= {FEW}").join(slim, "doc")
     x, y = small.alias("x"), small.alias("y")
     few = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     certain, many = _within(open_.where(f"c > {FEW}").select("grp", "doc", "comp").distinct(), slim, rows, k, percent)
-    more = cut(few.unionByName(many).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    rest = cut(_verify(more, rows, k, percent).unionByName(certain), "links")
+    more = cut(few.unionByName(many).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = _verify(more, rows, k, percent).unionByName(certain)
     final = connected_components(star.unionByName(rest), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    named = reps.join(final, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("comp"))
-    out = sigs.select("doc", "n", "hi", "lo").join(named, ["hi", "lo", "n"], "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNotNull(), F.coalesce("comp", "doc")).alias("component_id"))
+    discard(first, open_, more)
+    found = reps.join(final, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("comp"))
+    out = sigs.select("doc", "th", "n", "hi", "lo").join(found, ["hi", "lo", "n"], "left")
+    return out.select("doc", "th", "n", F.when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNotNull(), F.coalesce("comp", "doc")).alias("comp"))
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row's whole text.
+
+    Two rows link when 100 * intersection >= percent * union of their sets of k-word shingles; a text of fewer words is
+    one shingle. Texts with equal sets link; null and empty texts have no shingle and link with nothing, their
+    component is their own id. A null doc_id has a null component and links nothing. Of rows that repeat a doc_id each
+    has the component of its text. Other columns are ignored; no rows give no rows.
+
+    Exact but for equal hashes: equal sets are folded first; every two linked sets share a key (see bands). Each set is
+    compared with one that it shares many keys with. Components of these links are formed, and only keys that still
+    hold several components are compared further, pairs of one component left out: small groups pair by pair, large
+    ones (those of one smallest id at once) by an index of what sets their members apart (see _within).
+    Candidates pass the sketches' bound, then the sets themselves decide.
+    """
+    return _components(docs, k, percent, id_col, text_col).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, all columns, that stand for their component: those with its smallest id. Rows with a null id stay."""
-    gone = components(docs, k, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """Rows of docs, all columns, that stand for their component: those with its smallest id.
+
+    Rows, not ids, are dropped: of rows that repeat an id with different texts each goes or stays by its own text, and
+    rows repeated in full go or stay together. Rows with a null id stay. Only texts that may go are shuffled.
+    """
+    gone = cut(_components(docs, k, percent, id_col, text_col).where("doc <> comp").select(F.col("doc").alias("id"), "th"), "near-copies")
+    return without_rows(docs, gone, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
