@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.common import small_batches
+from canonry.llm.common import small_batches, text_hash, without_rows
 from canonry.plans.scratch import cut
 
 WORD = re.compile(r"\w+")
@@ -53,15 +53,15 @@ class Hasher:
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, words): the 32-bit hashes of each text's words, in order, as bytes. Written once for all passes."""
+    """(doc, th, words): the 32-bit hashes of each text's words, in order, as bytes. Written once for all passes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "words": pa.array([h(words_of(t)).tobytes() for t in b.column(1).to_pylist()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "th": b.column(1), "words": pa.array([h(words_of(t)).tobytes() for t in b.column(2).to_pylist()], pa.binary())})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return cut(rows.mapInArrow(apply, "doc long, words binary"), "words")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_hash(text_col).alias("th"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+    return cut(rows.mapInArrow(apply, "doc long, th long, words binary"), "words")
 
 
 def _slices(column: pa.Array, size: int = 150_000) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -340,15 +340,8 @@ class Finder:
             best[key] = (a + places[0], a + places[-1] + 1, share, cosine)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Pairs of a document and an item that it holds: doc_id, item_id, first_word, last_word, share, cosine.
-
-    Every window of every whole text meets every item. A pair is there once, with its best window; share is the part of
-    the item's words that the text has in order. Null or wordless texts and items, and null ids, give no pair. A
-    repeated doc_id gives a pair for each row that holds the item. Other columns are ignored; without documents or
-    items there are no rows. Items come to the driver in blocks of ITEM_BLOCK, a block is sent to the executors and
-    takes one pass over the words; the latent space has a fixed size.
-    """
+def _search(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """(doc_id, th, item_id, first_word, last_word, share, cosine) of every row, those without an id too."""
     spark = docs.sparkSession
     small_batches(spark)
     words = hashed(docs, id_col, text_col)
@@ -363,24 +356,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             finder = Finder(*sent.value)
             for b in batches:
-                ids = b.column(0).to_pylist()
-                for first, some in _slices(b.column(1)):
+                for first, some in _slices(b.column(2)):
                     rows = finder.find(some)
                     cols = list(zip(*rows)) or [[]] * 6
+                    at = pa.array(np.array(cols[0], np.int64) + first)
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array([ids[first + i] for i in cols[0]], pa.int64()), "item_id": pa.array(cols[1], pa.int64()), "first_word": pa.array(cols[2], pa.int64()),
+                        "doc_id": b.column(0).take(at), "th": b.column(1).take(at), "item_id": pa.array(cols[1], pa.int64()), "first_word": pa.array(cols[2], pa.int64()),
                         "last_word": pa.array(cols[3], pa.int64()), "share": pa.array(cols[4], pa.float64()), "cosine": pa.array(cols[5], pa.float64()),
                     })
 
-        found = words.mapInArrow(search, "doc_id long, item_id long, first_word long, last_word long, share double, cosine double")
+        found = words.mapInArrow(search, "doc_id long, th long, item_id long, first_word long, last_word long, share double, cosine double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs, all columns, whose text holds no benchmark item."""
-    bad = find_leaks(docs, benchmark, id_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Pairs of a document and an item that it holds: doc_id, item_id, first_word, last_word, share, cosine.
+
+    Every window of every whole text meets every item. A pair is there once, with its best window; share is the part of
+    the item's words that the text has in order. Null or wordless texts and items, and null ids, give no pair. A
+    repeated doc_id gives a pair for each row that holds the item. Other columns are ignored; without documents or
+    items there are no rows. Items come to the driver in blocks of ITEM_BLOCK, a block is sent to the executors and
+    takes one pass over the words; the latent space has a fixed size.
+    """
+    return _search(docs, benchmark, id_col, text_col, item_col, item_text_col).where("doc_id is not null").drop("th")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, whose text holds no benchmark item; each row by its own text, with or without an id."""
+    found = _search(docs, benchmark, id_col, text_col, "item_id", "text")
+    return without_rows(docs, cut(found.select(F.col("doc_id").alias("id"), "th").distinct(), "leaks"), id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> Weights:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Weights:
     """Learn from the documents that labels marks 0 or 1 (other labels and null ids are ignored).
 
-    The sample is bounded by `toxic` and `clean`, so one task learns from it, in order of id; a document labelled twice
+    The sample is bounded by `toxic` and `clean`, so one task learns from it, in order of a hash of the id; a document labelled twice
     counts twice. Where the classes are sampled at different rates, the bias is set right by the log of their ratio. Only
     weights that are not zero come back to the driver.
     """
@@ -129,7 +129,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Weights(k[k >= 0], w[k >= 0].astype(np.float32), float(w[k < 0][0]) + shift if (k < 0).any() else -3.0)
 
 
-def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+class Scorer:
+    """Probabilities of texts; a feature counts once however often it occurs."""
+
+    def __init__(self, index: np.ndarray, value: np.ndarray, bias: float):
+        self.dense, self.bias, self.hasher = np.zeros(1 << BITS, np.float32), bias, Hasher()
+        self.dense[index] = value
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        total = np.full(len(texts), self.bias)
+        for k in range(0, len(texts), 250):
+            kept = []
+            for feature, doc in self.hasher.features(texts[k : k + 250]):
+                (at,) = np.nonzero(self.dense[feature])
+                kept.append(doc[at] << np.int64(BITS) | feature[at])
+            pairs = np.unique(np.concatenate(kept))
+            total[k : k + 250] += np.bincount(pairs >> np.int64(BITS), self.dense[pairs & ((1 << BITS) - 1)], len(texts[k : k + 250]))
+        return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
+def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted (1 from THRESHOLD on) of every row's whole text.
 
     A null or empty text has no feature: its score is the bias alone. A feature counts once however often it occurs.
@@ -140,21 +159,9 @@ def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: s
     sent = spark.sparkContext.broadcast((weights.index, weights.value, weights.bias))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, value, bias = sent.value
-        dense = np.zeros(1 << BITS, np.float32)
-        dense[index] = value
-        hasher = Hasher()
+        scorer = Scorer(*sent.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            total = np.full(len(texts), bias)
-            for k in range(0, len(texts), 250):
-                kept = []
-                for feature, doc in hasher.features(texts[k : k + 250]):
-                    (at,) = np.nonzero(dense[feature])
-                    kept.append(doc[at] << np.int64(BITS) | feature[at])
-                pairs = np.unique(np.concatenate(kept))
-                total[k : k + 250] += np.bincount(pairs >> np.int64(BITS), dense[pairs & ((1 << BITS) - 1)], len(texts[k : k + 250]))
-            p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+            p = scorer(b.column(1).to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(p), "predicted": pa.array((p >= THRESHOLD).astype(np.int32))})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, "doc_id long, score double, predicted int")
@@ -165,10 +172,21 @@ def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels.where(crc_mod("doc_id", 3) != 1)))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs, all columns, that are not predicted toxic by a model of all labelled rows; a row with a null id stays only if no row with a null id is rejected."""
-    bad = score(docs, fit(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, that are not predicted toxic by a model of all labelled rows.
+
+    Each row goes or stays by its own text, whatever its id; nothing is shuffled but the labelled rows.
+    """
+    weights = fit(docs, labels, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast((weights.index, weights.value, weights.bias))
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*sent.value)
+        for b in batches:
+            yield b.filter(pa.array(scorer(b.column(at).to_pylist()) < THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
