@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,8 @@ class Packer:
 
     A piece goes to the open window that it fills best. When it fits none and all windows are open, the fullest
     window is filled up by cutting the piece and emitted; what is cut off is placed again. Pieces that fill a window
-    alone are emitted at once. A window is (tokens held, list of pieces).
+    alone are emitted at once. A window is (tokens held, list of pieces). A piece is (doc_id, start, its ids as a view
+    of little-endian unsigned 32-bit numbers, doc_tokens).
     """
 
     def __init__(self, length: int = LENGTH, windows: int = OPEN_WINDOWS):
@@ -35,65 +35,95 @@ class Packer:
         self.open: list[tuple[int, list]] = []
 
     def add(self, pieces: list[tuple]) -> Iterator[list]:
-        """Place pieces (doc_id, start, ids, doc_tokens) that stand together; yields windows that are full."""
-        n = sum(len(p[2]) for p in pieces)
+        """Place pieces that stand together; yields windows that are full."""
+        n = sum(len(p[2]) for p in pieces) >> 2
+        length, held = self.length, self.open
         while n:
-            if n >= self.length:
-                head, pieces = _split(pieces, self.length)
-                n -= self.length
+            if n >= length:
+                head, pieces = _split(pieces, length)
+                n -= length
                 yield head
                 continue
-            fits = [(self.length - held - n, i) for i, (held, _) in enumerate(self.open) if held + n <= self.length]
-            if fits:
-                rest, i = min(fits)
-                held, own = self.open[i]
+            best, rest = -1, length
+            for i, (k, _) in enumerate(held):
+                if 0 <= length - k - n < rest:
+                    best, rest = i, length - k - n
+            if best >= 0:
+                k, own = held[best]
                 if rest == 0:
-                    self.open.pop(i)
+                    held.pop(best)
                     yield own + pieces
                 else:
-                    self.open[i] = (held + n, own + pieces)
+                    own += _kept(pieces)
+                    held[best] = (k + n, own)
                 return
-            if len(self.open) < self.windows:
-                self.open.append((n, list(pieces)))
+            if len(held) < self.windows:
+                held.append((n, _kept(pieces)))
                 return
-            held, own = self.open.pop(max(range(len(self.open)), key=lambda i: (self.open[i][0], -i)))
-            head, pieces = _split(pieces, self.length - held)
-            n -= self.length - held
+            k, own = held.pop(max(range(len(held)), key=lambda i: (held[i][0], -i)))
+            head, pieces = _split(pieces, length - k)
+            n -= length - k
             yield own + head
 
 
+def _kept(pieces: list[tuple]) -> list[tuple]:
+    """Pieces with ids of their own, so that an open window does not hold a whole batch."""
+    return [(doc, start, bytes(ids), total) for doc, start, ids, total in pieces]
+
+
 def _split(pieces: list[tuple], n: int) -> tuple[list, list]:
     """The first n tokens of pieces, and the rest."""
     head, rest = [], []
     for doc, start, ids, total in pieces:
-        k = min(n, len(ids))
+        k = min(n, len(ids) >> 2)
         if k:
-            head.append((doc, start, ids[:k], total))
-        if k < len(ids):
-            rest.append((doc, start + k, ids[k:], total))
+            head.append((doc, start, ids[: 4 * k], total))
+        if 4 * k < len(ids):
+            rest.append((doc, start + k, ids[4 * k :], total))
         n -= k
     return head, rest
 
 
-def _emit(window: list, seq: int, left: bool) -> Iterator[tuple]:
-    at = 0
-    for doc, start, ids, total in window:
-        yield doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, seq, at, ids.astype("<u4").tobytes() if left else None, left
-        at += len(ids)
-
-
 _SCHEMA = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary()), ("leftover", pa.bool_())])
 
 
-def _batches(rows: Iterator[tuple], size: int = 4000) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), _SCHEMA)], schema=_SCHEMA)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), _SCHEMA)], schema=_SCHEMA)
+class _Rows:
+    """Rows of windows, as columns; windows are numbered from `seq` on."""
+
+    def __init__(self, seq: int):
+        self.seq = seq
+        self.columns: list[list] = [[] for _ in range(7)]
+
+    def put(self, window: list) -> None:
+        at, (doc, start, length, crc, tokens, seq, offset) = 0, self.columns
+        for d, s, ids, total in window:
+            n = len(ids) >> 2
+            doc.append(d)
+            start.append(s)
+            length.append(n)
+            crc.append(zlib.crc32(ids))
+            tokens.append(total)
+            seq.append(self.seq)
+            offset.append(at)
+            at += n
+        self.seq += 1
+
+    def full(self) -> bool:
+        return len(self.columns[0]) >= 4000
+
+    def batch(self, ids: list | None = None) -> pa.RecordBatch:
+        n = len(self.columns[0])
+        arrays = [pa.array(c, pa.int64()) for c in self.columns]
+        arrays += [pa.nulls(n, pa.binary()) if ids is None else pa.array(ids, pa.binary()), pa.array([ids is not None] * n, pa.bool_())]
+        self.columns = [[] for _ in range(7)]
+        return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
+
+    def rest(self, windows: list[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
+        """What is still to be told, and the open windows as leftovers with their ids."""
+        yield self.batch()
+        for _, window in windows:
+            self.put(window)
+            yield self.batch([bytes(p[2]) for p in window])
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, length: int = LENGTH, windows: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,23 +140,16 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, length
     path = vocabulary or default_vocabulary()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, box = encoder(path), Packer(length, windows)
-        end = np.array([end_id], dtype=enc.dtype)
-        base = TaskContext.get().partitionId() * IDS_A_TASK
-
-        def rows() -> Iterator[tuple]:
-            seq = base
-            for b in batches:
-                for doc, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                    ids = np.concatenate([np.frombuffer(raw, enc.dtype), end])
-                    for window in box.add([(doc, 0, ids, len(ids))]):
-                        yield from _emit(window, seq, False)
-                        seq += 1
-            for _, window in box.open:
-                yield from _emit(window, seq, True)
-                seq += 1
-
-        yield from _batches(rows())
+        enc, box, out = encoder(path), Packer(length, windows), _Rows(TaskContext.get().partitionId() * IDS_A_TASK)
+        for b in batches:
+            ids, place = enc.encode(b.column(1), end_id)
+            view, place = memoryview(ids.astype("<u4")).cast("B"), place.tolist()
+            for doc, a, e in zip(b.column(0).to_pylist(), place, place[1:]):
+                for window in box.add([(doc, 0, view[4 * a : 4 * e], e - a)]):
+                    out.put(window)
+                if out.full():
+                    yield out.batch()
+        yield from out.rest(box.open)
 
     made = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(first, LEFT), "packed")
     done, left = [made.where("not leftover")], made.where("leftover")
@@ -135,29 +158,20 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, length
         n, rounds = -(-n // MERGE_FAN_IN), rounds + 1
 
         def merge(batches: Iterator[pa.RecordBatch], shift: int = rounds * IDS_A_ROUND, keep: int = windows if n > 1 else 1) -> Iterator[pa.RecordBatch]:
-            box, base = Packer(length, keep), shift + TaskContext.get().partitionId() * IDS_A_TASK
-
-            def rows() -> Iterator[tuple]:
-                seq, now, own = base, None, []
-
-                def close() -> Iterator[tuple]:
-                    nonlocal seq
-                    for window in box.add(own):
-                        yield from _emit(window, seq, False)
-                        seq += 1
-
-                for b in batches:
-                    for r in b.to_pylist():
-                        if r["sequence_id"] != now:
-                            yield from close()
-                            now, own = r["sequence_id"], []
-                        own.append((r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]))
-                yield from close()
-                for _, window in box.open:
-                    yield from _emit(window, seq, True)
-                    seq += 1
-
-            yield from _batches(rows())
+            box, out = Packer(length, keep), _Rows(shift + TaskContext.get().partitionId() * IDS_A_TASK)
+            now, own = None, []
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["sequence_id"] != now:
+                        for window in box.add(own):
+                            out.put(window)
+                        now, own = r["sequence_id"], []
+                    own.append((r["doc_id"], r["start"], r["ids"], r["doc_tokens"]))
+                if out.full():
+                    yield out.batch()
+            for window in box.add(own):
+                out.put(window)
+            yield from out.rest(box.open)
 
         merged = cut(left.repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(merge, LEFT), "packed")
         done.append(merged.where("not leftover"))

@@ -1,9 +1,10 @@
 """Token ids in files of independent zstandard frames with a seek table at the end.
 
 Layout of a file (all numbers little-endian):
-  skippable frame 0x184D2A50: JSON {"version", "dtype", "docs", "tokens"}
+  skippable frame 0x184D2A50: JSON {"version", "dtype"}
   data frames: each holds whole documents' ids, about FRAME_BYTES before compression
-  skippable frame 0x184D2A51: zstandard-compressed index, int64 doc_id, int64 first token (of each document)
+  skippable frame 0x184D2A51: zstandard-compressed index: int64 doc_id of each document, int64 first token of each
+    document, int64 number of tokens, int64 number of documents without an id, which come first and show 0
   skippable frame 0x184D2A5E: the seek table of zstandard's public seekable format, with a checksum of each frame
 A plain zstandard reader that skips skippable frames gets the ids of all documents in order.
 """
@@ -36,16 +37,17 @@ def _skippable(magic: int, body: bytes) -> bytes:
     return struct.pack("<II", magic, len(body)) + body
 
 
-def write_file(out, docs: Iterable[tuple[int, bytes]], dtype: str, level: int = 3) -> dict:
+def write_file(out, docs: Iterable[tuple[int | None, bytes]], dtype: str, level: int = 3) -> dict:
     """Write (doc_id, ids as bytes of dtype) in the given order to the file object `out`; returns counts.
 
+    Documents without an id (None) come first.
     A document longer than a frame gets a frame of its own. Without documents the file holds no data frame.
     """
     import xxhash
     import zstandard
 
     width, press = np.dtype(dtype).itemsize, zstandard.ZstdCompressor(level=level)
-    size, frames, ids, starts, held, n = 0, [], [], [], [], 0
+    size, frames, ids, starts, held, n, nameless = 0, [], [], [], [], 0, 0
 
     def put(data: bytes) -> None:
         nonlocal size
@@ -65,13 +67,14 @@ def write_file(out, docs: Iterable[tuple[int, bytes]], dtype: str, level: int =
         if waiting and waiting + len(raw) > FRAME_BYTES:
             flush()
             waiting = 0
-        ids.append(doc_id)
+        nameless += doc_id is None
+        ids.append(doc_id or 0)
         starts.append(n)
         held.append(raw)
         waiting += len(raw)
         n += len(raw) // width
     flush()
-    index = press.compress(np.array([ids, starts], dtype="<i8").tobytes() + struct.pack("<q", n))
+    index = press.compress(np.array([ids, starts], dtype="<i8").tobytes() + struct.pack("<qq", n, nameless))
     put(_skippable(INDEX, index))
     table = b"".join(struct.pack("<III", *f) for f in frames) + struct.pack("<IBI", len(frames), 0x80, SEEKABLE)
     put(_skippable(SEEK, table))
@@ -96,7 +99,8 @@ class TokenFile:
         self.raw_place = np.concatenate([[0], np.cumsum(self.frames[:, 1])])
         _, n = struct.unpack("<II", self._at(int(self.place[-1]), 8))
         index = zstandard.ZstdDecompressor().decompress(self._at(int(self.place[-1]) + 8, n))
-        docs = (len(index) - 8) // 16
+        docs = (len(index) - 16) // 16
+        (self.nameless,) = struct.unpack_from("<q", index, len(index) - 8)
         self.ids = np.frombuffer(index, "<i8", docs)
         self.starts = np.frombuffer(index, "<i8", docs + 1, offset=8 * docs)
         self.unpack = zstandard.ZstdDecompressor()
@@ -113,23 +117,25 @@ class TokenFile:
             raise ValueError(f"frame {k} does not match its checksum")
         return raw
 
-    def read(self, which: Iterable[int] | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    def read(self, which: Iterable[int] | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, first token in this file, ids) of the documents at these positions, or of all, in order."""
         now, raw, width = -1, b"", self.dtype.itemsize
         for i in range(len(self.ids)) if which is None else which:
             a, b = int(self.starts[i]) * width, int(self.starts[i + 1]) * width
+            doc_id = int(self.ids[i]) if i >= self.nameless else None
             if a == b:
-                yield int(self.ids[i]), a // width, np.empty(0, self.dtype)
+                yield doc_id, a // width, np.empty(0, self.dtype)
                 continue
             k = int(np.searchsorted(self.raw_place, a, side="right")) - 1
             if k != now:
                 now, raw = k, self.frame(k)
             base = int(self.raw_place[k])
-            yield int(self.ids[i]), a // width, np.frombuffer(raw, self.dtype, (b - a) // width, a - base)
+            yield doc_id, a // width, np.frombuffer(raw, self.dtype, (b - a) // width, a - base)
 
     def find(self, doc_id: int) -> list[int]:
         """Positions of a document (ids are in ascending order in the file)."""
-        return list(range(int(np.searchsorted(self.ids, doc_id, "left")), int(np.searchsorted(self.ids, doc_id, "right"))))
+        ids = self.ids[self.nameless :]
+        return list(range(self.nameless + int(np.searchsorted(ids, doc_id, "left")), self.nameless + int(np.searchsorted(ids, doc_id, "right"))))
 
 
 def _open(uri: str):
@@ -142,8 +148,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     """Encode docs and write them in ascending doc_id order; returns the manifest, a row a file, itself written.
 
     A null text is empty and still gets its end id. Rows with one doc_id stand in order of their text; rows with a null
-    doc_id cannot be named in a file and raise an error. No rows: no files. A file is written under a name of its own
-    and renamed when whole, so a task that runs twice leaves one file. `folder` is a URI that all executors reach.
+    doc_id come first and have a null id in the files. No rows: no files. The manifest names the files that count: a
+    file has a name of its own, and what a lost or repeated task leaves behind is not in the manifest. `folder` is a
+    URI that all executors reach.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -152,30 +159,29 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
 
-        def rows() -> Iterator[tuple[int, bytes]]:
+        def rows() -> Iterator[tuple[int | None, memoryview]]:
             for b in batches:
-                for i, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                    yield i, raw + end
+                ids, place = enc.encode(b.column(1), end_id)
+                view, place = memoryview(ids).cast("B"), (place * enc.dtype.itemsize).tolist()
+                yield from zip(b.column(0).to_pylist(), (view[a:e] for a, e in zip(place, place[1:])))
 
         first = next(it := rows(), None)
         if first is None:
             return
         fs, top = _open(folder)
         fs.create_dir(top, recursive=True)
-        final, part = f"{top}/tokens-{shard:06d}.zst", f"{top}/.{shard:06d}-{uuid.uuid4().hex}"
+        name = f"tokens-{shard:06d}-{uuid.uuid4().hex}.zst"
 
-        def all_rows() -> Iterator[tuple[int, bytes]]:
+        def all_rows() -> Iterator[tuple[int | None, memoryview]]:
             yield first
             yield from it
 
-        with fs.open_output_stream(part) as out:
+        with fs.open_output_stream(f"{top}/{name}", compression=None) as out:
             told = write_file(out, all_rows(), enc.dtype.str)
-        fs.move(part, final)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/tokens-{shard:06d}.zst"], "docs": [told["docs"]], "tokens": [told["tokens"]], "bytes": [told["bytes"]]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/{name}"], "docs": [told["docs"]], "tokens": [told["tokens"]], "bytes": [told["bytes"]]})
 
-    rows = docs.select(F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a doc_id is null")).cast("long")).otherwise(F.col(id_col).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard long, file string, docs long, tokens long, bytes long")
     manifest = cut(made, "token-manifest")
     # A row a file: the one window without a key has as many rows as there are files.

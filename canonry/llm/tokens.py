@@ -6,9 +6,18 @@ import json
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces remembered by a Python worker in each of two generations.
-REMEMBERED = 350_000
+#: Pieces remembered by a Python worker.
+REMEMBERED = 700_000
+#: Pieces whose ids are laid out at a time.
+LAID_OUT = 1 << 18
+#: Marks that are neither letters, numbers nor white space; an apostrophe may begin a contraction and is not among them.
+MARKS = ",.;:!?*$#)-\""
+_SPACE = r"\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Texts in which a space (U+0020) stands before other white space, or after it at the end.
+UNEVEN = f" [{_SPACE}]|[{_SPACE}] \\z"
 
 
 def default_vocabulary() -> str:
@@ -21,70 +30,164 @@ class Encoder:
     """Encodes whole texts with a file of the tokenizers library, without special tokens.
 
     Byte-level tokenizers that split by the usual pattern always start a new piece at a space that stands before a
-    non-space. So a text without two neighbouring spaces is encoded space by space and each piece is looked up; the
-    library encodes the pieces not seen before. Other texts, and other kinds of tokenizer, are encoded whole.
+    non-space. So a text whose spaces all stand so is cut at its spaces and each piece is looked up; the library encodes
+    the pieces not seen before. Texts with other white space beside a space or with one of the file's added tokens, and
+    other kinds of tokenizer, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.tok.no_truncation()
         self.tok.no_padding()
         with open(path) as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.seen: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2") if max(vocabulary.values(), default=0) < 1 << 16 else np.dtype("<u4")
+        self.starts_piece = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.starts_piece[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.letters = self.by_piece and spec.get("model", {}).get("type") == "BPE" and not spec["model"].get("dropout")
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[str, int] = {}  # pieces, with the space before them
+        self.heads: dict[str, int] = {}  # first pieces of texts
+        self.ids = np.empty(1 << 16, self.dtype)
+        self.begin, self.size, self.count = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.n, self.n_ids = 0, 0
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Append rows of these sizes; returns the first one's number."""
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.n + len(sizes) > len(self.begin):
+            self.begin, self.size, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.count))
+        first, at = self.n, slice(self.n, self.n + len(sizes))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.begin[at] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[at], self.count[at] = sizes, 0
+        self.n, self.n_ids = self.n + len(sizes), self.n_ids + len(ids)
+        return first
+
+    def _whole(self, texts: list[str]) -> int:
+        lists = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._store(np.array([i for x in lists for i in x], self.dtype), np.array([len(x) for x in lists], np.int64))
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.seen) > REMEMBERED:
-            self.seen, self.old = {}, self.seen
-        fresh = []
-        for p in pieces:
-            if (b := self.old.get(p)) is None:
-                fresh.append(p)
+        """Remember new pieces. Marks behind a letter are a pre-token of their own, so a piece is its core and its marks."""
+        rows, cores, split = self.rows, [], []
+        for w in pieces:
+            if not w:  # a space at a text's end
+                rows[w] = self._whole([" "])
+                continue
+            core = w.rstrip(MARKS)
+            if len(core) < len(w) and core and core[-1].isalpha():
+                split.append((w, core))
             else:
-                self.seen[p] = b
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            e = self.tok.encode([" " + p for p in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, dtype=self.dtype)
-            at = (np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * self.dtype.itemsize).tolist()
-            raw = ids.tobytes()
-            for p, a, b in zip(part, at, at[1:]):
-                self.seen[p] = raw[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian numbers of this encoder's dtype; None counts as empty."""
-        texts = [t or "" for t in texts]
-        if not self.by_piece:
-            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        out: list[bytes] = []
-        for k in range(0, len(texts), 200):
-            parts = [None if "  " in t else t.split(" ") for t in texts[k : k + 200]]
-            new = set()
-            for p in parts:
-                if p:
-                    new.update(p[1:])
-            seen = self.seen
-            self._learn([p for p in new if p not in seen])
-            seen, old = self.seen, self.old
-            for t, p in zip(texts[k : k + 200], parts):
-                if p is None:
-                    out.append(self._whole(t))
-                    continue
-                try:
-                    out.append(self._whole(p[0]) + b"".join([seen[x] for x in p[1:]]))
-                except KeyError:  # remembered in the older generation when the younger one was begun
-                    out.append(self._whole(p[0]) + b"".join([seen[x] if x in seen else old[x] for x in p[1:]]))
-        return out
+                cores.append(w)
+        known = set(cores)
+        cores += [c for c in dict.fromkeys(c for _, c in split) if c not in rows and c not in known]
+        plain = [w for w in cores if w.isascii() and w.isalpha()]
+        tokenize = self.tok.model.tokenize  # a run of letters is one pre-token: it goes to the model as it is
+        for k in range(0, len(plain) if self.letters else 0, 20_000):
+            lists = [[t.id for t in tokenize("Ġ" + w)] for w in plain[k : k + 20_000]]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            first = self._store(np.fromiter((i for x in lists for i in x), self.dtype, int(sizes.sum())), sizes)
+            rows.update(zip(plain[k : k + 20_000], range(first, first + len(lists))))
+        other = [w for w in cores if not (w.isascii() and w.isalpha())] if self.letters else cores
+        for k in range(0, len(other), 20_000):
+            part = other[k : k + 20_000]
+            ids = np.array(self.tok.encode(" " + " ".join(part), add_special_tokens=False).ids, self.dtype)
+            (at,) = np.nonzero(self.starts_piece[ids])
+            if len(at) != len(part):
+                raise RuntimeError("a piece does not start at its space")
+            first = self._store(ids, np.diff(np.append(at, len(ids))))
+            rows.update(zip(part, range(first, first + len(part))))
+        if split:
+            marks = [w[len(c) :] for w, c in split]
+            if fresh := [m for m in dict.fromkeys(marks) if m not in self.heads]:
+                first = self._whole(fresh)
+                self.heads.update(zip(fresh, range(first, first + len(fresh))))
+            two = np.array([[rows[c] for _, c in split], [self.heads[m] for m in marks]]).T.ravel()
+            size = self.size[two]
+            at = np.cumsum(size) - size
+            first = self._store(self.ids[np.repeat(self.begin[two] - at, size) + np.arange(int(size.sum()))], size.reshape(-1, 2).sum(axis=1))
+            rows.update(zip([w for w, _ in split], range(first, first + len(split))))
+
+    def _make_room(self) -> None:
+        """Forget the pieces met less than three times, or all if that is not half of them."""
+        keep = self.count[: self.n] > 2
+        if 2 * keep.sum() > self.n:
+            self._forget()
+            return
+        rows, heads, ids, begin, size = self.rows, self.heads, self.ids, self.begin[: self.n], self.size[: self.n]
+        (old,) = np.nonzero(keep)
+        self._forget()
+        at = np.cumsum(size[old]) - size[old]
+        self._store(ids[np.repeat(begin[old] - at, size[old]) + np.arange(int(size[old].sum()))], size[old])
+        new = np.cumsum(keep) - 1
+        for now, before in ((self.rows, rows), (self.heads, heads)):
+            now.update((w, int(new[r])) for w, r in before.items() if keep[r])
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each with end_id behind it, and where each text begins (n + 1 places).
+
+        None counts as empty.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.n > self.remembered:
+            self._make_room()
+        if self.by_piece:
+            whole = pc.match_substring_regex(texts, UNEVEN)
+            for t in self.added:
+                whole = pc.or_(whole, pc.match_substring(texts, t))
+        else:
+            whole = pa.array(np.ones(len(texts), bool))
+        parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        at = parts.offsets.to_numpy()
+        values = parts.values.slice(at[0], at[-1] - at[0])
+        at = at - at[0]
+        begins = at[:-1]
+        coded = values.dictionary_encode()
+        of = coded.indices.to_numpy()
+        heads = values.take(pa.array(begins)).to_pylist()
+        tail = np.ones(len(of), bool)
+        tail[begins] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[of[tail]] = True
+        (used,) = np.nonzero(used)
+        words = coded.dictionary.take(pa.array(used)).to_pylist()
+        rows = self.rows
+        self._learn([w for w in words if w not in rows])
+        if fresh := [h for h in dict.fromkeys(heads) if h not in self.heads]:
+            first = self._whole(fresh)
+            self.heads.update(zip(fresh, range(first, first + len(fresh))))
+        row_of = np.zeros(len(coded.dictionary), np.int64)
+        row_of[used] = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+        kept, kept_ids = self.n, self.n_ids
+        end = self._store(np.array([end_id], self.dtype), np.ones(1, np.int64))
+        own = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
+        (odd,) = np.nonzero(whole.to_numpy(zero_copy_only=False))
+        if len(odd):
+            own[odd] = self._whole(texts.take(pa.array(odd)).to_pylist()) + np.arange(len(odd))
+        row = row_of[of]
+        self.count[: self.n] += np.bincount(row, minlength=self.n)[: self.n]
+        row[begins] = own
+        row = np.insert(row, at[1:], end)
+        place = np.concatenate([[0], np.cumsum(self.size[row])])
+        out = np.empty(int(place[-1]), self.dtype)
+        for k in range(0, len(row), LAID_OUT):
+            r = row[k : k + LAID_OUT]
+            size, a = self.size[r], place[k]
+            n = int(place[min(k + LAID_OUT, len(row))] - a)
+            out[a : a + n] = self.ids[np.repeat(self.begin[r] - (place[k : k + len(r)] - a), size) + np.arange(n)]
+        self.n, self.n_ids = kept, kept_ids  # the end and whole texts are not remembered
+        return out, place[np.append(at + np.arange(len(at)), 0)[:-1]]
 
 
 @lru_cache(maxsize=2)

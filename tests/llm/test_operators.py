@@ -2,13 +2,16 @@
 
 import hashlib
 import io
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from canonry.llm import decontam, exact_dedup, html_extract, langid, ngram_join, packing, queries, sharding, substring_dedup, token_file, toxicity
-from canonry.llm.tokens import default_vocabulary, encoder
+from canonry.llm.tokens import Encoder, default_vocabulary
+from canonry.plans.scratch import new_path
 from tests.conftest import DATA, rows_of
 
 SF = f"{DATA}/sf0.001"
@@ -216,17 +219,25 @@ def test_sketch_bounds_difference():
         assert apart <= len(np.setxor1d(a, b))
 
 
-def test_token_files_round_trip(spark):
+def library_ids(text, end):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(default_vocabulary())
-    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
-    want, n = set(), 0
-    for d in docs:
-        ids = np.array(tok.encode(d.text or "", add_special_tokens=False).ids + [2], "<u4")
-        want.add((d.doc_id, n, len(ids), zlib.crc32(ids.tobytes())))
+    tok = library_ids.tok = getattr(library_ids, "tok", None) or Tokenizer.from_file(default_vocabulary())
+    return np.array([*tok.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+
+
+@pytest.mark.parametrize("source", ["odd", "sf0.001"])
+def test_token_files_round_trip(spark, source):
+    docs = frame(spark, ODD) if source == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    want, n = [], 0
+    for d in sorted(docs.collect(), key=lambda d: (d.doc_id is not None, d.doc_id, d.text or "")):
+        ids = library_ids(d.text, 2)
+        want.append((d.doc_id, n, len(ids), zlib.crc32(ids.tobytes())))
         n += len(ids)
-    assert {tuple(r) for r in token_file.query(spark, SF).collect()} == want
+    manifest = token_file.write_token_files(docs, new_path(spark, "tokens"))
+    rows = token_file.read_token_files(manifest, token_file.documents_of, "doc_id long, start long, n_tokens long, ids_crc32 long, base long, shard long")
+    assert sorted(((r.doc_id, r.base + r.start, r.n_tokens, r.ids_crc32) for r in rows.collect()), key=lambda r: r[1]) == want
+    assert token_file.write_token_files(docs.limit(0), new_path(spark, "tokens")).count() == 0
 
 
 def test_token_file_reads_only_what_is_asked_and_sees_damage():
@@ -250,20 +261,25 @@ def test_token_file_reads_only_what_is_asked_and_sees_damage():
 
 
 def test_encoder_equals_library():
-    enc = encoder(default_vocabulary())
-    texts = [t for _, t in ODD] + ["a\n\n b", " lead", "trail ", "it's 's x", "tab\t\tx \n y", "  x 　y", "<|endoftext|> a", "a \n b"]
-    whole = [np.array(enc.tok.encode(t or "", add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
-    assert enc.encode(texts) == whole
+    rng = random.Random(5)
+    parts = ["a", "b", "word", "word,", "abc.", "x!!", "ab*$$,", "A.b,", " x", " y", " ", " ", " ", "  ", "\xa0", "\u3000", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\u1680", "\u2009", "\u2028", "\u200b", "\u180e", "\ufeff", "é", "ß", "漢", "字", "1", "23", "½", "'s", "'ll", "don't", "<|endoftext|>", "<|", "🙂", "e\u0301", "ก", "_", "-", "\x00"]
+    texts = [t for _, t in ODD] + ["x\n a ", "x ", "x\n "] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    enc = Encoder(default_vocabulary(), remembered=2000)
+    for k in range(0, len(texts), 500):
+        ids, at = enc.encode(pa.array(texts[k : k + 500]), 7)
+        for i, t in enumerate(texts[k : k + 500]):
+            assert ids[at[i] : at[i + 1]].tolist() == library_ids(t, 7).tolist(), repr(t)
+    ids, at = enc.encode(pa.array([], pa.string()), 7)
+    assert len(ids) == 0 and at.tolist() == [0]
 
 
 @pytest.mark.parametrize("source", ["odd", "sf0.001"])
 def test_packing_holds_every_token_once(spark, source):
-    docs = frame(spark, [(i, t) for i, t in ODD if i not in (None, 5)]) if source == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
-    enc = encoder(default_vocabulary())
-    ids = {r.doc_id: np.append(np.frombuffer(enc.encode([r.text])[0], enc.dtype), 0).astype("<u4") for r in docs.collect()}
+    docs = frame(spark, [(i, t) for i, t in ODD if i != 5]) if source == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    ids = {r.doc_id: library_ids(r.text, 0) for r in docs.collect()}
     rows = packing.pack(docs.repartition(5)).collect()
     at, seqs = dict.fromkeys(ids, 0), {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+    for r in sorted(rows, key=lambda r: (r.doc_id or 0, r.start)):
         assert r.start == at[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
         assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
         at[r.doc_id] += r.length
@@ -279,6 +295,12 @@ def test_packing_holds_every_token_once(spark, source):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_rows_that_repeat_an_id(spark):
+    rows = packing.pack(frame(spark, [(5, "one"), (5, "one"), (5, "two words here"), (None, LONG), (None, None)])).collect()
+    assert sum(r.length for r in rows) == sum(len(library_ids(t, 0)) for t in ("one", "one", "two words here", LONG, None))
+    assert sorted(r.doc_tokens for r in rows if r.doc_id == 5) == sorted(len(library_ids(t, 0)) for t in ("one", "one", "two words here"))
+
+
 def test_repeats_found_and_clean_left_alone(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9)))
