@@ -18,8 +18,8 @@ from canonry.plans.scratch import cut, discard
 
 SKETCH = [f"s{i}" for i in range(8)]  # 512 parity bits
 REMEMBERED = 500_000
-#: Groups of up to so many candidates are compared pair by pair, larger ones by their differences from a reference set.
-FEW = 64
+#: Groups of up to so many sets are compared pair by pair, larger ones by their differences from a reference set.
+FEW = 32
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -274,11 +274,19 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.where("doc is not null").select("doc", "text", place).mapInArrow(apply, "doc long, set array<long>")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches allow that the pair links."""
+def _may_link(a: str, b: str, percent: int, times: int = 1) -> Column:
+    """Sizes and sketches allow that the pair links, or is so far apart as `times` that."""
     n = F.col(f"{a}.n") + F.col(f"{b}.n")
     apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent) & (apart * (100 + percent) <= n * (100 - percent))
+    return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * max(0, 100 - times * (100 - percent))) & (apart * (100 + percent) <= n * (100 - percent) * times)
+
+
+def _pairs(groups: DataFrame, by: str, slim: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one group and different components that may link; for groups of up to FEW."""
+    own = groups.select(by, "doc", "comp").join(slim, "doc")
+    x, y = own.alias("x"), own.alias("y")
+    met = x.join(y, (F.col(f"x.{by}") == F.col(f"y.{by}")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent))
+    return met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -327,11 +335,52 @@ def _within(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent
     x = own.where("far").select("grp", "doc", "comp", first(F.ceil((F.col("w") + F.col("least")) / (2 * q)))).alias("x")
     y = own.select("grp", "doc", "comp", "far", first(F.ceil((F.col("w") - F.col("least") + 1) / (2 * q)))).alias("y")
     met = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.far") | (F.col("x.doc") < F.col("y.doc"))))
-    pairs = met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    pairs = cut(met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), "near")
     s, t = slim.alias("s"), slim.alias("t")
     return certain, pairs.join(s, pairs.a == F.col("s.doc")).join(t, pairs.b == F.col("t.doc")).where(_may_link("s", "t", percent)).select("a", "b")
 
 
+def _across(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of (doc, comp, fam) from different families that may link.
+
+    Linked sets share one of the first n - percent of n + 1 elements of each, in any order that is the same for all;
+    here the elements that fewest of the sets hold come first, by counts of a fixed size, so what many texts share
+    (a line, a passage) comes last. Elements of one family only are left out.
+    """
+    slots = 1 << 18
+    ids = groups.select("doc").distinct()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).values.to_numpy()[b.column(0).offsets[0].as_py() : b.column(0).offsets[-1].as_py()] & (slots - 1), minlength=slots)
+        (hot,) = np.nonzero(total > 4 * max(1, total.mean()))  # the rest are rare
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(hot, pa.int64()), "n": pa.array(total[hot])})
+
+    hot = _sets(docs, ids, k).select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    weight = np.zeros(slots, np.int64)
+    weight[hot.column("slot").to_numpy()] = hot.column("n").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(weight)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw in b.column(1):
+                h = raw.values.to_numpy()
+                out.append(h[np.lexsort((h, sent.value[h & (slots - 1)]))][: len(h) - -(-len(h) * percent // 100) + 1])
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "first": pa.array(out, pa.list_(pa.int64()))})
+
+    held = _sets(docs, ids, k).mapInArrow(prefix, "doc long, first array<long>").select("doc", F.explode("first").alias("e")).join(groups.select("doc", "comp", "fam"), "doc")
+    held = cut(held, "rare")
+    several = held.groupBy("e").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("e")
+    own = held.join(several, "e").join(slim, "doc")
+    x, y = own.alias("x"), own.alias("y")
+    met = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.fam") != F.col("y.fam")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent))
+    out = cut(met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), "across")
+    discard(held)
+    return out
+
+
 def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, th, n, comp) of every row; see components()."""
     spark = docs.sparkSession
@@ -344,31 +393,40 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     slim = reps.select(F.col("rep").alias("doc"), "sid", "n", *SKETCH)
     lists = met.where("members is not null").select("key", "lead", "whole", "met", "tag", "members")
     once = lists.where("whole").groupBy("tag", "lead", F.size("members").alias("size")).agg(F.min("key").alias("key"), F.sum("met").alias("met"), F.first("members").alias("members"))
-    cols = ["key", "lead", "met", "members"]
+    cols = ["key", "met", "members"]
     some = lists.where("not whole").select(*cols).unionByName(once.select(*cols))
-    named = slim.select("sid", "doc")
-    members = cut(some.select("key", "lead", "met", F.explode("members").alias("sid")).join(named, "sid").select("key", "lead", "met", "doc"), "members")
+    named = some.select("key", "met", F.size("members").alias("size"), F.explode("members").alias("sid")).join(slim.select("sid", "doc"), "sid")
+    members = cut(named.select("key", "met", "size", "doc"), "members")
 
-    # Each set is first compared with the one of its leads that it shares most keys with.
-    pairs = members.groupBy("lead", "doc").agg(F.sum("met").alias("met")).join(named.select(F.col("sid").alias("lead"), F.col("doc").alias("hub")), "lead").where("doc <> hub")
+    # A list's lead is the set that shares most keys with others; a set is first compared with the lead it shares most keys with.
+    degree = members.groupBy("doc").agg(F.sum(F.expr("met * size")).alias("degree"))
+    leads = members.join(degree, "doc").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
+    led = cut(members.select("key", "met", "doc").join(leads, "key").where("doc <> hub").groupBy("hub", "doc").agg(F.sum("met").alias("met"), F.min("key").alias("key")), "led")
     x, y = slim.alias("x"), slim.alias("y")
-    likely = pairs.join(x, pairs.hub == F.col("x.doc")).join(y, pairs.doc == F.col("y.doc")).where(_may_link("x", "y", percent)).select(pairs.hub, pairs.doc, pairs.met)
-    best = likely.groupBy("doc").agg(F.max_by("hub", F.struct("met", -F.col("hub"))).alias("hub"))
-    first = cut(best.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "pairs")
+    near = led.join(x, led.hub == F.col("x.doc")).join(y, led.doc == F.col("y.doc")).where(_may_link("x", "y", percent, 2)).select(led.hub, led.doc, led.met, _may_link("x", "y", percent).alias("may"))
+    by = [F.col("met"), -F.col("hub")]
+    best = cut(near.groupBy("doc").agg(F.max_by("hub", F.struct("may", *by)).alias("hub"), F.max("may").alias("may"), F.max_by("hub", F.struct(*by)).alias("kin")), "best")
+    first = cut(best.where("may").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "pairs")
     star = _verify(first, rows, k, percent)
     comp = connected_components(star, "a", "b").select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-    placed = cut(members.select("key", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("grp"), F.count("*").alias("c")).where("lo <> hi").select("key", "grp", "c")
-    open_ = cut(placed.join(mixed, "key").distinct(), "undecided")
-    discard(members, placed)
-    small = open_.where(f"c <= {FEW}").join(slim, "doc")
-    x, y = small.alias("x"), small.alias("y")
-    few = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    certain, many = _within(open_.where(f"c > {FEW}").select("grp", "doc", "comp").distinct(), slim, rows, k, percent)
-    more = cut(few.unionByName(many).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    fam = connected_components(best, "doc", "kin").select(F.col("node").alias("doc"), F.col("component").alias("fam"))
+
+    # Only lists that still hold several components are compared further: short ones pair by pair; the sets of long ones
+    # in their families, and across families by their rarest elements.
+    placed = members.select("key", "doc").join(comp, "doc", "left").join(fam, "doc", "left")
+    placed = cut(placed.select("key", "doc", F.coalesce("comp", "doc").alias("comp"), F.coalesce("fam", "doc").alias("fam")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.countDistinct("fam").alias("fams"), F.count("*").alias("c")).where("lo <> hi").select("key", "c", "fams")
+    open_ = placed.join(mixed, "key")
+    few = _pairs(open_.where(f"c <= {FEW}"), "key", slim, percent)
+    long = cut(open_.where(f"c > {FEW}").groupBy("doc").agg(F.min("comp").alias("comp"), F.min("fam").alias("fam"), F.max(F.expr("fams > 1")).alias("across")), "undecided")
+    families = long.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("fam", "c")
+    kin = long.select("doc", "comp", "fam").join(families, "fam")
+    certain, many = _within(kin.where(f"c > {FEW}").select(F.col("fam").alias("grp"), "doc", "comp"), slim, rows, k, percent)
+    pairs = few.unionByName(many).unionByName(_pairs(kin.where(f"c <= {FEW}"), "fam", slim, percent)).unionByName(_across(long.where("across"), slim, rows, k, percent))
+    more = cut(pairs.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     rest = _verify(more, rows, k, percent).unionByName(certain)
     final = connected_components(star.unionByName(rest), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    discard(first, open_, more)
+    discard(members, led, best, first, placed, long, more)
     found = reps.join(final, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc", "th", "n", "hi", "lo").join(found, ["hi", "lo", "n"], "left")
     return out.select("doc", "th", "n", F.when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNotNull(), F.coalesce("comp", "doc")).alias("comp"))
@@ -383,10 +441,11 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     has the component of its text. Other columns are ignored; no rows give no rows.
 
     Exact but for equal hashes: equal sets are folded first; every two linked sets share a key (see bands). Each set is
-    compared with one that it shares many keys with. Components of these links are formed, and only keys that still
-    hold several components are compared further, pairs of one component left out: small groups pair by pair, large
-    ones (those of one smallest id at once) by an index of what sets their members apart (see _within).
-    Candidates pass the sketches' bound, then the sets themselves decide.
+    compared with one that shares many keys with it and with others. Components of these links are formed, and only
+    lists of a key that still hold several components are compared further, pairs of one component left out: short
+    lists pair by pair; the sets of long ones in families of similar sets, by an index of what sets a family's members
+    apart (see _within), and across families by their rarest elements (see _across). Candidates pass the sketches'
+    bound, then the sets themselves decide.
     """
     return _components(docs, k, percent, id_col, text_col).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
