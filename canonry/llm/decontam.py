@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,49 +17,52 @@ from pyspark.sql import functions as F
 from canonry.llm.common import small_batches, text_hash, without_rows
 from canonry.plans.scratch import cut
 
-WORD = re.compile(r"\w+")
+BETWEEN = r"[^\p{L}\p{N}_]+"
 BUCKET_BITS, RANK, PASSAGE = 15, 64, 64
 BUCKETS, BLOCKS = 1 << BUCKET_BITS, 32
 #: A window whose cosine with an item is at least COSINE is a candidate; of the item's words a share of SHARE must
-#: follow one another in the text, and ANSWER of its answer's words; from VERBATIM on no answer check is needed.
-COSINE, SHARE, ANSWER, VERBATIM = 0.35, 0.65, 0.5, 0.9
+#: follow one another in the text, and ANSWER of its answer's words, or RARE of its rarer half if it names no answer;
+#: from VERBATIM on no answer check is needed.
+COSINE, SHARE, ANSWER, RARE, VERBATIM = 0.35, 0.65, 0.5, 0.3, 0.9
 #: Leading directions, which tell languages and common words apart rather than passages, are left out of the cosine.
 LEADING = 4
 SEEN_BITS = 1024  # of the presence map of a window's words
-LEAST_WORDS = 5  # items of fewer words are matched whole
+LEAST_WORDS = 5  # items of fewer words are matched whole, word after word
 SMALLEST_WINDOW = 16
-REMEMBERED = 500_000
 #: Items compared at a time: so many are sent to the executors, however many there are.
 ITEM_BLOCK = 20_000
 FAN_IN = 64
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all texts' words, one text after the other, and where each text begins (n + 1 places).
 
+    Words are runs of letters, numbers and low lines, in lower case; null texts have none.
+    """
+    import xxhash
 
-class Hasher:
-    def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), BETWEEN)
+    at = parts.offsets.to_numpy()
+    coded = parts.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    index = coded.indices.to_numpy()
+    keep = np.array([w != "" for w in words], bool)[index] if words else np.empty(0, bool)
+    hashes = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+    return hashes[index[keep]], np.concatenate([[0], np.cumsum(keep)])[at - at[0]]
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        import xxhash
 
-        seen = self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = xxhash.xxh32_intdigest(w)
-        return np.fromiter(map(seen.__getitem__, words), np.uint32, len(words))
+def words_of(text: str | None) -> np.ndarray:
+    return word_hashes(pa.array([text], pa.string()))[0]
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, th, words): the 32-bit hashes of each text's words, in order, as bytes. Written once for all passes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher()
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "th": b.column(1), "words": pa.array([h(words_of(t)).tobytes() for t in b.column(2).to_pylist()], pa.binary())})
+            flat, at = word_hashes(b.column(2))
+            words = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "th": b.column(1), "words": words})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_hash(text_col).alias("th"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
     return cut(rows.mapInArrow(apply, "doc long, th long, words binary"), "words")
@@ -177,28 +181,31 @@ class Item:
     words: np.ndarray
     masks: dict[int, int]
     answer: frozenset[int]
+    need: float  # so many of the answer's words must be there
     bytes: np.ndarray  # where the presence map tells of each word
     bits: np.ndarray
 
 
 def make_items(rows: list[tuple[int, str]], space: Space) -> list[Item]:
-    """Items with their answers: the words after "answer:", otherwise the quarter of the words that is rarest."""
-    h, out = Hasher(), []
+    """Items with their answers: the words after "answer:", otherwise the half of the words that is rarer."""
+    out = []
     for i, text in rows:
-        w = h(words_of(text))
+        w = words_of(text)
         if not len(w):
             continue
         masks: dict[int, int] = {}
         for k, x in enumerate(w.tolist()):
             masks[x] = masks.get(x, 0) | 1 << k
         told = re.split(r"\banswer\s*:", text.lower())
-        if len(told) > 1 and words_of(told[-1]):
-            answer = h(words_of(told[-1]))
+        if len(told) > 1 and len(words_of(told[-1])):
+            answer, part = words_of(told[-1]), ANSWER
         else:
             distinct = np.unique(w)
-            answer = distinct[np.argsort(-space.idf[distinct >> np.uint32(32 - BUCKET_BITS)], kind="stable")[: max(1, len(distinct) // 4)]]
+            answer = distinct[np.argsort(-space.idf[distinct >> np.uint32(32 - BUCKET_BITS)], kind="stable")[: max(1, len(distinct) // 2)]]
+            part = RARE
         place = (w % np.uint32(SEEN_BITS)).astype(np.int64)
-        out.append(Item(i, w, masks, frozenset(answer.tolist()), place >> 3, (128 >> (place & 7)).astype(np.uint8)))
+        own = frozenset(answer.tolist())
+        out.append(Item(i, w, masks, own, part * len(own), place >> 3, (128 >> (place & 7)).astype(np.uint8)))
     return out
 
 
@@ -325,14 +332,21 @@ class Finder:
         a = max(0, at - w // 2)
         words = docs[d][a : at + w + w // 2].tolist()
         n = len(item.words)
+        if n < LEAST_WORDS:
+            whole = item.words.tolist()
+            for k in range(len(words) - n + 1):
+                if words[k : k + n] == whole:
+                    best.setdefault((d, item.item_id), (a + k, a + k + n, 1.0, cosine))
+                    return
+            return
         have = set(words)
         if sum(m.bit_count() for x, m in item.masks.items() if x in have) < SHARE * n:
             return
         common = common_subsequence(item, words)
         share = common / n
-        if share < (SHARE if n >= LEAST_WORDS else 1.0):
+        if share < SHARE:
             return
-        if share < VERBATIM and len(item.answer & have) < ANSWER * len(item.answer):
+        if share < VERBATIM and len(item.answer & have) < item.need:
             return
         key = (d, item.item_id)
         if key not in best or share > best[key][2]:
@@ -373,8 +387,9 @@ def _search(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of a document and an item that it holds: doc_id, item_id, first_word, last_word, share, cosine.
 
-    Every window of every whole text meets every item. A pair is there once, with its best window; share is the part of
-    the item's words that the text has in order. Null or wordless texts and items, and null ids, give no pair. A
+    Every window of every whole text meets every item. A pair is there once, with its best window (of equal ones the
+    first); share is the part of the item's words that the text has in order, items of fewer than LEAST_WORDS words
+    stand in the text word after word. Null or wordless texts and items, and null ids, give no pair. A
     repeated doc_id gives a pair for each row that holds the item. Other columns are ignored; without documents or
     items there are no rows. Items come to the driver in blocks of ITEM_BLOCK, a block is sent to the executors and
     takes one pass over the words; the latent space has a fixed size.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +27,9 @@ _STARTS = np.array(sorted(a for a, _, _ in SCRIPTS))
 _ENDS = np.array([b for _, b in sorted((a, b) for a, b, _ in SCRIPTS)])
 _KIND = np.array([NAMES.index(s) for _, s in sorted((a, s) for a, _, s in SCRIPTS)])
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Numbers that are neither decimal digits nor letters (fractions, circled and Roman numbers): no part of a word.
+NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
 BUCKETS, LONGEST_GRAM = 1 << 17, 4
 #: A word's evidence against a language is at most CLIP; changing the language between two words costs PENALTY.
 CLIP, PENALTY = 6.0, 12.0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.common import small_batches
+from canonry.llm.common import small_batches, text_hash
 from canonry.plans.scratch import cut
 
 #: A chunk ends after a word whose gear hash is the least of some WINDOW neighbouring words, so it has WINDOW words at most.
@@ -127,14 +127,18 @@ def runs(repeated: dict[int, int], words: np.ndarray, least: int = PASSAGE_WORDS
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE_WORDS) -> DataFrame:
     """Passages that stand elsewhere first: doc_id, start, end (code points), n_words, first_doc_id.
 
-    The occurrence with the smallest (doc_id, position) is the one to keep and is not returned; all later ones are, also
-    in the same document. A passage is a run of repeated units of at least `least` words; it is found to within the
-    chunks at its two ends. Null and empty texts have no passage. A null doc_id takes no part. Rows that repeat a
-    doc_id with equal text are one document, of rows with different texts under one id the longest counts. Other
+    The occurrence with the smallest (doc_id, text's hash, position) is the one to keep and is not returned; all later
+    ones are, also in the same document. A passage is a run of repeated units of at least `least` words; it is found to
+    within the chunks at its two ends. Null and empty texts have no passage. A null doc_id takes no part. Rows that
+    repeat a doc_id with equal text are one document, with different texts they are several. Other
     columns are ignored; no rows give no rows. Units are dealt out once, for the count and the join; the
     rows of a unit that very many documents share go to one task, which streams them. A document's own units are all that
     is ever gathered.
     """
+    return _repeats(docs, id_col, text_col, least).drop("th")
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -146,7 +150,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 u.append(units(d, w)[0].view(np.int64))
                 sizes.append(np.diff(c, prepend=0).astype(np.int32).tobytes())
                 words.append(w.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "unit": pa.array(u, pa.list_(pa.int64())), "sizes": pa.array(sizes, pa.binary()), "words": pa.array(words, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "th": b.column(2), "unit": pa.array(u, pa.list_(pa.int64())), "sizes": pa.array(sizes, pa.binary()), "words": pa.array(words, pa.binary())})
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,26 +158,29 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for r in b.to_pylist():
                 words, ends = np.frombuffer(r["words"], np.uint8).astype(np.int32), np.cumsum(np.frombuffer(r["sizes"], np.int32))
                 for a, e, n, src in runs({h["pos"]: h["first"] for h in r["hits"]}, words, least):
-                    out.append((r["doc"], int(ends[a - 1]) if a else 0, int(ends[e - 1]), n, src))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "start", "end", "n_words", "first_doc_id"), cols)})
+                    out.append((r["doc"], r["th"], int(ends[a - 1]) if a else 0, int(ends[e - 1]), n, src))
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "th", "start", "end", "n_words", "first_doc_id"), cols)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null and text <> ''")
-    table = cut(rows.mapInArrow(chunked, "doc long, unit array<long>, sizes binary, words binary"), "chunks")
-    each = table.select("doc", F.posexplode("unit").alias("pos", "unit")).where("doc is not null and pos is not null and unit is not null").repartition("unit")
-    firsts = each.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("at")).where("n > 1").select("unit", "at")
-    hits = cut(each.join(firsts, "unit").where("doc <> at.doc or pos <> at.pos").groupBy("doc").agg(F.collect_set(F.struct("pos", F.col("at.doc").alias("first"))).alias("hits")), "hits")
-    own = table.select("doc", "sizes", "words").join(hits.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.max_by(F.struct("sizes", "words"), F.length("sizes")).alias("own"))
-    found = hits.join(own, "doc").select("doc", "hits", "own.sizes", "own.words")
-    return found.mapInArrow(passages, "doc_id long, start long, end long, n_words long, first_doc_id long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), text_hash(text_col).alias("th")).where("doc is not null and text is not null and text <> ''")
+    table = cut(rows.mapInArrow(chunked, "doc long, th long, unit array<long>, sizes binary, words binary"), "chunks")
+    each = table.select("doc", "th", F.posexplode("unit").alias("pos", "unit")).where("doc is not null and pos is not null and unit is not null").repartition("unit")
+    firsts = each.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("at")).where("n > 1").select("unit", "at")
+    hits = cut(each.join(firsts, "unit").where("doc <> at.doc or th <> at.th or pos <> at.pos").groupBy("doc", "th").agg(F.collect_set(F.struct("pos", F.col("at.doc").alias("first"))).alias("hits")), "hits")
+    own = table.select("doc", "th", "sizes", "words").join(hits.select("doc", "th"), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
+    found = hits.join(own, ["doc", "th"]).select("doc", "th", "hits", "sizes", "words")
+    return found.mapInArrow(passages, "doc_id long, th long, start long, end long, n_words long, first_doc_id long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE_WORDS) -> DataFrame:
-    """docs with later occurrences of repeated passages cut out of the text; all rows and columns stay. Ids must be distinct."""
-    spans = find_repeats(docs, id_col, text_col, least).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("doc_id", "__doc")
+    """docs with later occurrences of repeated passages cut out of the text; all rows and columns stay.
+
+    Each row by its own text, so ids may repeat; rows without an id keep their text.
+    """
+    spans = _repeats(docs, id_col, text_col, least).groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     parts = F.transform(F.col("__spans"), lambda s, i: F.substring(F.col(text_col), (F.when(i == 0, F.lit(0)).otherwise(F.element_at("__spans", i).getField("end")) + 1).cast("int"), (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.element_at("__spans", i).getField("end"))).cast("int")))
     rest = F.substring(F.col(text_col), (F.element_at("__spans", -1).getField("end") + 1).cast("int"), F.length(text_col))
-    joined = docs.join(spans, docs[id_col] == spans["__doc"], "left")
+    joined = docs.withColumn("__own", text_hash(text_col)).join(spans, (docs[id_col] == spans["__doc"]) & (F.col("__own") == spans["__th"]), "left")
     text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(parts, ""), rest))
     return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -14,3 +14,12 @@ def test_long_runs_can_switch_language(spark):
     spans = model.spans(text)
     assert spans[-2:] == [(spans[-2][0], 386, "aa"), (386, len(text), "bb")]
     assert model.label([text])[0][0] == max(spans, key=lambda s: s[1] - s[0])[2]
+
+
+def test_texts_without_a_letter_are_undetermined_and_ties_go_by_name(spark):
+    docs = spark.createDataFrame([(1, "hello old world", "en"), (2, "hello old world", "aa")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    odd = ["½ ②", "①", "Ⅷ", "²³", "12 34", "_ _", "٣٤", "", None]
+    assert model.label(odd) == [("und", 0.0)] * len(odd)
+    rows = spark.createDataFrame([(1, "hello"), (1, "①"), (1, "hello")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in langid.identify(rows, model).collect()) == [(1, "aa", 1.0), (1, "aa", 1.0), (1, "und", 0.0)]
