@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,21 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def hash_words(texts: pa.Array, between: str, lower: Callable, digest: Callable, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, one text after the other, and where each text begins (n + 1 places).
+
+    `between` is the pattern of what parts words; null texts have none. Each distinct word of the batch is hashed once.
+    """
+    parts = pc.split_pattern_regex(lower(pc.fill_null(texts.cast(pa.large_string()), "")), between)
+    at = parts.offsets.to_numpy()
+    coded = parts.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    index = coded.indices.to_numpy()
+    keep = np.array([w != "" for w in words], bool)[index] if words else np.empty(0, bool)
+    hashes = np.fromiter(map(digest, words), dtype, len(words))
+    return hashes[index[keep]], np.concatenate([[0], np.cumsum(keep)])[at - at[0]]
+
+
 def bit_map(positions: DataFrame) -> np.ndarray:
     """MAP_BITS bits with those of (p) set, OR-ed by Spark; at most MAP_BITS / 64 rows come back."""
     words = positions.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
@@ -62,9 +80,9 @@ def split_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) ->
     place = lambda i, th: F.xxhash64(i, th).bitwiseAND(F.lit(MAP_BITS - 1))
     sent = spark.sparkContext.broadcast(bit_map(named.select(place(F.col("id").cast("long"), F.col("th")).alias("p"))))
 
-    @F.pandas_udf("boolean")
-    def maybe(p: pd.Series) -> pd.Series:
-        return pd.Series(set_bits(sent.value, p.to_numpy()))
+    @F.arrow_udf("boolean")
+    def maybe(p: pa.Array) -> pa.Array:
+        return pa.array(set_bits(sent.value, p.to_numpy()))
 
     rows = docs.withColumn("__th", text_hash(text_col)).withColumn("__maybe", maybe(place(F.col(id_col).cast("long"), F.col("__th"))))
     return rows.where("not __maybe").drop("__th", "__maybe"), rows.where("__maybe").drop("__maybe")

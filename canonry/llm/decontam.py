@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.common import small_batches, text_hash, without_rows
+from canonry.llm.common import hash_words, small_batches, text_hash, without_rows
 from canonry.plans.scratch import cut
 
 BETWEEN = r"[^\p{L}\p{N}_]+"
@@ -41,14 +41,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     import xxhash
 
-    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), BETWEEN)
-    at = parts.offsets.to_numpy()
-    coded = parts.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    index = coded.indices.to_numpy()
-    keep = np.array([w != "" for w in words], bool)[index] if words else np.empty(0, bool)
-    hashes = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
-    return hashes[index[keep]], np.concatenate([[0], np.cumsum(keep)])[at - at[0]]
+    return hash_words(texts, BETWEEN, pc.utf8_lower, xxhash.xxh32_intdigest, np.uint32)
 
 
 def words_of(text: str | None) -> np.ndarray:

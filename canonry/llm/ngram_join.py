@@ -9,15 +9,15 @@ from math import ceil, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.common import MAP_BITS, bit_map, set_bits, small_batches, text_hash, without_rows
+from canonry.llm.common import MAP_BITS, bit_map, hash_words, set_bits, small_batches, text_hash, without_rows
 from canonry.operators.components import connected_components
 from canonry.plans.scratch import cut, discard
 
 SKETCH = [f"s{i}" for i in range(8)]  # 512 parity bits
-REMEMBERED = 500_000
 #: Groups of up to so many sets are compared pair by pair, larger ones by their differences from a reference set.
 FEW = 32
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
@@ -29,30 +29,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Distinct hashed k-word shingles of a text, ascending; A-Z lower-cased, words parted by ASCII white space."""
+def shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Distinct hashed k-word shingles of each text, ascending; A-Z lower-cased, words parted by ASCII white space."""
+    import xxhash
 
-    def __init__(self, k: int):
-        self.k, self.seen = k, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
-
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        seen = self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        k = min(self.k, len(h))
+    flat, at = hash_words(texts, r"[\x09-\x0D\x20]+", pc.ascii_lower, xxhash.xxh3_64_intdigest, np.uint64)
+    for a, e in zip(at.tolist(), at[1:].tolist()):
+        h = flat[a:e]
+        if not len(h):
+            yield h
+            continue
+        n = min(k, len(h))
         with np.errstate(over="ignore"):
-            out = np.full(len(h) - k + 1, k, np.uint64)
-            for i in range(k):
-                out = _mix(out * _A + h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+            out = np.full(len(h) - n + 1, n, np.uint64)
+            for i in range(n):
+                out = _mix(out * _A + h[i : len(h) - n + 1 + i])
+        yield np.unique(out)
 
 
 @lru_cache(maxsize=4)
@@ -177,7 +169,6 @@ def _met(rows: DataFrame, k: int, percent: int) -> DataFrame:
     buckets = parts * max(1, min(16, 4096 // parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(k)
         held: dict[int, np.ndarray] = {}
         waiting = 0
 
@@ -199,8 +190,7 @@ def _met(rows: DataFrame, k: int, percent: int) -> DataFrame:
             out: dict[str, list] = {c: [] for c in ("sid", "n", "hi", "lo")}
             sketches = []
             with np.errstate(over="ignore"):
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    h = shingle(text)
+                for doc, h in zip(b.column(0).to_pylist(), shingles(b.column(1), k)):
                     hi, lo = _mix(h).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(h * _B)) if len(h) else np.uint64(0)
                     sid = int(_mix(_mix(hi + np.uint64(len(h))) ^ lo)) & (1 << 40) - 1
                     for c, v in zip(out, (sid, len(h), int(hi.astype(np.int64)), int(np.uint64(lo).astype(np.int64)))):
@@ -266,10 +256,9 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(place)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(k)
         for b in batches:
             b = b.filter(pa.array(set_bits(sent.value, b.column(2).to_numpy())))
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "set": pa.array([shingle(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "set": pa.array([h.view(np.int64) for h in shingles(b.column(1), k)], pa.list_(pa.int64()))})
 
     return docs.where("doc is not null").select("doc", "text", place).mapInArrow(apply, "doc long, set array<long>")
 

@@ -2,59 +2,53 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.common import crc_mod, small_batches
+from canonry.llm.common import crc_mod, hash_words, small_batches
 
-WORD = re.compile(r"[^\W_]+")
+BETWEEN = r"[^\p{L}\p{N}]+"
 BITS = 22
 ALPHA, BETA, L1, L2, PASSES = 3.0, 1.0, 4.0, 0.1, 4
 #: At most about so many labelled rows of each class are learned from, chosen by a hash of their ids.
 TRAIN_TOXIC, TRAIN_CLEAN = 5000, 9000
 THRESHOLD = 0.7
-REMEMBERED = 500_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Hasher:
-    """Hashed features of texts: words, pairs and triples of neighbours, and pairs with one or two words left out."""
-
-    def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
-
-    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, text's index) of every word."""
-        import xxhash
-
-        seen = self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        lists = [WORD.findall(t.lower()) if t else [] for t in texts]
-        for w in {w for x in lists for w in x}.difference(seen):
-            seen[w] = xxhash.xxh3_64_intdigest(w)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        h = np.fromiter((seen[w] for x in lists for w in x), np.uint64, int(sizes.sum()))
-        return h, np.repeat(np.arange(len(lists)), sizes)
-
-    def features(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(bucket, text's index) of every feature occurrence, one kind of feature at a time."""
-        h, doc = self.words(texts)
-        bucket = lambda x: ((x ^ (x >> np.uint64(31))) * _C >> np.uint64(64 - BITS)).astype(np.int64)
-        yield bucket(h * _A), doc
-        for kind, gap in ((1, 1), (2, 2), (3, 3)):
-            x = h[:-gap] * _A + (h[gap:] ^ np.uint64(kind)) * _B
-            ok = doc[:-gap] == doc[gap:]
-            yield bucket(x[ok]), doc[gap:][ok]
-        x = (h[:-2] * _A + h[1:-1]) * _A + h[2:] * _B
-        ok = doc[:-2] == doc[2:]
-        yield bucket(x[ok]), doc[2:][ok]
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, text's index) of every feature occurrence, one kind of feature at a time.
+
+    Features are words, pairs and triples of neighbours, and pairs with one or two words left out, hashed.
+    """
+    import xxhash
+
+    h, at = hash_words(texts, BETWEEN, pc.utf8_lower, xxhash.xxh3_64_intdigest, np.uint64)
+    doc = np.repeat(np.arange(len(texts)), np.diff(at))
+    bucket = lambda x: ((x ^ (x >> np.uint64(31))) * _C >> np.uint64(64 - BITS)).astype(np.int64)
+    yield bucket(h * _A), doc
+    for kind, gap in ((1, 1), (2, 2), (3, 3)):
+        x = h[:-gap] * _A + (h[gap:] ^ np.uint64(kind)) * _B
+        ok = doc[:-gap] == doc[gap:]
+        yield bucket(x[ok]), doc[gap:][ok]
+    x = (h[:-2] * _A + h[1:-1]) * _A + h[2:] * _B
+    ok = doc[:-2] == doc[2:]
+    yield bucket(x[ok]), doc[2:][ok]
+
+
+def _some(texts: pa.Array, most: int = 250, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Neighbouring texts, of about `size` bytes together, with the first one's place."""
+    upto, k = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
+    while k < len(texts):
+        e = min(k + most, max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + size))))
+        yield k, texts.slice(k, e - k)
+        k = e
 
 
 @dataclass
@@ -135,14 +129,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i").select("i", "y", "t")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = Hasher(), []
+        held = []
         for b in batches:
-            ids, ys, texts = (c.to_pylist() for c in b.columns)
-            for k in range(0, len(texts), 100):
-                by = [(f, d) for f, d in hasher.features(texts[k : k + 100])]
-                feature, doc = (np.concatenate(x) for x in zip(*by))
+            ids, ys = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for k, texts in _some(b.column(2)):
+                feature, doc = (np.concatenate(x) for x in zip(*features(texts)))
                 pairs = np.unique(doc << np.int64(BITS) | feature)
-                at = np.searchsorted(pairs >> np.int64(BITS), np.arange(len(texts[k : k + 100]) + 1))
+                at = np.searchsorted(pairs >> np.int64(BITS), np.arange(len(texts) + 1))
                 low = (pairs & ((1 << BITS) - 1)).astype(np.int32)
                 held += [(i, y, low[a:e]) for i, y, a, e in zip(ids[k:], ys[k:], at, at[1:])]
         held.sort(key=lambda x: (x[0] * 0x9E3779B97F4A7C15 % (1 << 64), x[0], x[1]))
@@ -159,19 +152,19 @@ class Scorer:
     """Probabilities of texts; a feature counts once however often it occurs."""
 
     def __init__(self, w: Weights):
-        self.dense, self.w, self.hasher = np.zeros(1 << BITS, np.float32), w, Hasher()
+        self.dense, self.w = np.zeros(1 << BITS, np.float32), w
         self.dense[w.index] = w.value
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def __call__(self, texts: pa.Array) -> np.ndarray:
         total = np.full(len(texts), self.w.prior)
-        for k in range(0, len(texts), 250):
+        for k, some in _some(texts):
             kept = []
-            for feature, doc in self.hasher.features(texts[k : k + 250]):
+            for feature, doc in features(some):
                 total[k + np.unique(doc)] = self.w.bias
                 (at,) = np.nonzero(self.dense[feature])
                 kept.append(doc[at] << np.int64(BITS) | feature[at])
             pairs = np.unique(np.concatenate(kept))
-            total[k : k + 250] += np.bincount(pairs >> np.int64(BITS), self.dense[pairs & ((1 << BITS) - 1)], len(texts[k : k + 250]))
+            total[k : k + len(some)] += np.bincount(pairs >> np.int64(BITS), self.dense[pairs & ((1 << BITS) - 1)], len(some))
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
@@ -188,7 +181,7 @@ def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: s
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for b in batches:
-            p = scorer(b.column(1).to_pylist())
+            p = scorer(b.column(1))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(p), "predicted": pa.array((p >= THRESHOLD).astype(np.int32))})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, "doc_id long, score double, predicted int")
@@ -210,7 +203,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for b in batches:
-            yield b.filter(pa.array(scorer(b.column(at).to_pylist()) < THRESHOLD))
+            yield b.filter(pa.array(scorer(b.column(at)) < THRESHOLD))
 
     return docs.mapInArrow(keep, docs.schema)
 
