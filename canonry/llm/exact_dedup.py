@@ -23,7 +23,7 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
         self.spark, self.name, self.buckets = spark, name, buckets
         if not spark.catalog.tableExists(name):
-            self.append(spark.createDataFrame([], "digest binary, keep_id long"))
+            self.append(spark.range(0).select(F.lit(None).cast("binary").alias("digest"), F.col("id").alias("keep_id")))
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)

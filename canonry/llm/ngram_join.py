@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import ceil, exp, factorial, sqrt
 
@@ -112,7 +112,7 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 
 #: Keys that a task deals out at a time, and keys that a task compares at a time.
-DEALT, COMPARED = 1 << 21, 1 << 22
+DEALT, COMPARED = 1 << 20, 1 << 21
 #: A list of more sets is written in several rows.
 LONGEST_LIST = 1024
 #: A key is a bucket and FP bits; a set goes by the other bits of its entry. Equal entries are equal sets but for hashing.
@@ -250,17 +250,30 @@ def _met(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.repartitionById(parts, "part").sortWithinPartitions("bucket").mapInArrow(meet, f"{_SIGNATURE}, {_LISTS}")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc, set) of the documents in ids (doc), and of few others, without moving texts."""
+def _over_sets(docs: DataFrame, ids: DataFrame, k: int, make: Callable, schema: str) -> DataFrame:
+    """make(iterator of (docs, their sets)) over the documents in ids (doc), and few others, without moving texts."""
     place = F.expr(f"xxhash64(doc) & {MAP_BITS - 1}").alias("p")
     sent = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(place)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(set_bits(sent.value, b.column(2).to_numpy())))
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "set": pa.array([h.view(np.int64) for h in shingles(b.column(1), k)], pa.list_(pa.int64()))})
+        def some() -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+            for b in batches:
+                b = b.filter(pa.array(set_bits(sent.value, b.column(2).to_numpy())))
+                yield b.column(0), [h.view(np.int64) for h in shingles(b.column(1), k)]
+
+        yield from make(some())
+
+    return docs.where("doc is not null").select("doc", "text", place).mapInArrow(apply, schema)
+
 
-    return docs.where("doc is not null").select("doc", "text", place).mapInArrow(apply, "doc long, set array<long>")
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc, set) of the documents in ids (doc), and of few others."""
+
+    def make(some: Iterator[tuple[pa.Array, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for doc, sets in some:
+            yield pa.RecordBatch.from_pydict({"doc": doc, "set": pa.array(sets, pa.list_(pa.int64()))})
+
+    return _over_sets(docs, ids, k, make, "doc long, set array<long>")
 
 
 def _may_link(a: str, b: str, percent: int, times: int = 1) -> Column:
@@ -339,27 +352,24 @@ def _across(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent
     slots = 1 << 18
     ids = groups.select("doc").distinct()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(some: Iterator[tuple[pa.Array, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
-        for b in batches:
-            total += np.bincount(b.column(0).values.to_numpy()[b.column(0).offsets[0].as_py() : b.column(0).offsets[-1].as_py()] & (slots - 1), minlength=slots)
+        for _, sets in some:
+            total += np.bincount(np.concatenate([np.empty(0, np.int64), *sets]) & (slots - 1), minlength=slots)
         (hot,) = np.nonzero(total > 4 * max(1, total.mean()))  # the rest are rare
         yield pa.RecordBatch.from_pydict({"slot": pa.array(hot, pa.int64()), "n": pa.array(total[hot])})
 
-    hot = _sets(docs, ids, k).select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    hot = _over_sets(docs, ids, k, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     weight = np.zeros(slots, np.int64)
     weight[hot.column("slot").to_numpy()] = hot.column("n").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(weight)
 
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for raw in b.column(1):
-                h = raw.values.to_numpy()
-                out.append(h[np.lexsort((h, sent.value[h & (slots - 1)]))][: len(h) - -(-len(h) * percent // 100) + 1])
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "first": pa.array(out, pa.list_(pa.int64()))})
+    def prefix(some: Iterator[tuple[pa.Array, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for doc, sets in some:
+            first = [h[np.lexsort((h, sent.value[h & (slots - 1)]))][: len(h) - -(-len(h) * percent // 100) + 1] for h in sets]
+            yield pa.RecordBatch.from_pydict({"doc": doc, "first": pa.array(first, pa.list_(pa.int64()))})
 
-    held = _sets(docs, ids, k).mapInArrow(prefix, "doc long, first array<long>").select("doc", F.explode("first").alias("e")).join(groups.select("doc", "comp", "fam"), "doc")
+    held = _over_sets(docs, ids, k, prefix, "doc long, first array<long>").select("doc", F.explode("first").alias("e")).join(groups.select("doc", "comp", "fam"), "doc")
     held = cut(held, "rare")
     several = held.groupBy("e").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("e")
     own = held.join(several, "e").join(slim, "doc")
