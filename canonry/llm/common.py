@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from canonry.plans.scratch import visible_to_workers
 
 #: Upper bounds of an Arrow batch that goes to Python: long texts must not make it large.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bits of the maps that tell which rows may be meant: a fixed size whatever the input's. They only spare work: a full
 #: map lets everything pass, and joins decide.
 MAP_BITS = 1 << 26

@@ -149,6 +149,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, length
                     out.put(window)
                 if out.full():
                     yield out.batch()
+        enc.forget()
         yield from out.rest(box.open)
 
     made = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(first, LEFT), "packed")

@@ -179,6 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
         with fs.open_output_stream(f"{top}/{name}", compression=None) as out:
             told = write_file(out, all_rows(), enc.dtype.str)
+        enc.forget()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/{name}"], "docs": [told["docs"]], "tokens": [told["tokens"]], "bytes": [told["bytes"]]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

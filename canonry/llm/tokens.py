@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered by a Python worker.
-REMEMBERED = 700_000
+#: Pieces remembered by a task.
+REMEMBERED = 400_000
 #: Pieces whose ids are laid out at a time.
 LAID_OUT = 1 << 18
 #: Marks that are neither letters, numbers nor white space; an apostrophe may begin a contraction and is not among them.
@@ -52,9 +52,10 @@ class Encoder:
         self.starts_piece[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.letters = self.by_piece and spec.get("model", {}).get("type") == "BPE" and not spec["model"].get("dropout")
         self.remembered = remembered
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Forget all pieces: at a task's end, as its worker is kept."""
         self.rows: dict[str, int] = {}  # pieces, with the space before them
         self.heads: dict[str, int] = {}  # first pieces of texts
         self.ids = np.empty(1 << 16, self.dtype)
@@ -123,11 +124,11 @@ class Encoder:
         """Forget the pieces met less than three times, or all if that is not half of them."""
         keep = self.count[: self.n] > 2
         if 2 * keep.sum() > self.n:
-            self._forget()
+            self.forget()
             return
         rows, heads, ids, begin, size = self.rows, self.heads, self.ids, self.begin[: self.n], self.size[: self.n]
         (old,) = np.nonzero(keep)
-        self._forget()
+        self.forget()
         at = np.cumsum(size[old]) - size[old]
         self._store(ids[np.repeat(begin[old] - at, size[old]) + np.arange(int(size[old].sum()))], size[old])
         new = np.cumsum(keep) - 1
