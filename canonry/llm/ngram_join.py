@@ -18,7 +18,7 @@ from canonry.operators.components import connected_components
 from canonry.plans.scratch import cut, discard
 
 SKETCH = [f"s{i}" for i in range(8)]  # 512 parity bits
-#: Groups of up to so many sets are compared pair by pair, larger ones by their differences from a reference set.
+#: Lists of up to so many sets are compared pair by pair, the sets of longer ones by families and rare elements.
 FEW = 32
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -284,7 +284,7 @@ def _may_link(a: str, b: str, percent: int, times: int = 1) -> Column:
 
 
 def _pairs(groups: DataFrame, by: str, slim: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one group and different components that may link; for groups of up to FEW."""
+    """Pairs (a, b) of one group and different components that may link; for groups of up to FEW sets."""
     own = groups.select(by, "doc", "comp").join(slim, "doc")
     x, y = own.alias("x"), own.alias("y")
     met = x.join(y, (F.col(f"x.{by}") == F.col(f"y.{by}")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent))
@@ -303,40 +303,33 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
 
 def _within(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Certain links and candidates (a, b) of large groups (grp, doc, comp), without comparing all members.
+    """Certain links and candidates (a, b) of families (grp, doc, comp), without comparing all members.
 
-    A group has a reference set (the majority elements of some members; any set gives right results), and a member is
-    its difference D from it, elements of its own first. With q = 100 + percent and W = q |D| - (100 - percent) n, two
+    The set of the document that a family is named after is its reference (any set gives right results), and a member
+    is its difference D from it, elements of its own first. With q = 100 + percent and W = q |D| - (100 - percent) n, two
     members link exactly when their differences share at least (W + W') / 2q elements. Members whose W is not above
-    the negated smallest W link with the member that has the smallest, and need no comparison with each other. A pair
-    with an outlier shares an element of D, and one among the first |D| - needed + 1 of both: these are joined.
+    the negated smallest W link with the member that has the smallest, and need no comparison with each other; the others
+    are far. Of a pair with a far member that with the larger W is far. Both hold a shared element among the first
+    |D| + 1 - needed: for the larger the other's W is at least the lowest of all differences, for the smaller at least
+    its own and the lowest of the far members.
     """
     q = 100 + percent
     sets = _sets(docs, groups.select("doc").distinct(), k)
-    own = cut(groups.join(sets, "doc"), "members")
-
-    def majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            grp, offsets = b.column(0).to_numpy(), b.column(1).offsets.to_numpy()
-            flat = b.column(1).values.to_numpy()[offsets[0] : offsets[-1]]
-            of = np.repeat(grp, np.diff(offsets))
-            order = np.argsort(of, kind="stable")
-            of, flat = of[order], flat[order]
-            for g, size in zip(*np.unique(grp, return_counts=True), strict=True):
-                x, count = np.unique(flat[np.searchsorted(of, g) : np.searchsorted(of, g, "right")], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"grp": pa.array([g], pa.int64()), "size": pa.array([size], pa.int64()), "ref": pa.array([x[2 * count > size]], pa.list_(pa.int64()))})
-
-    refs = cut(own.select("grp", "set").mapInArrow(majority, "grp long, size long, ref array<long>").groupBy("grp").agg(F.max_by("ref", "size").alias("ref")), "references")
-    own = own.join(refs, "grp").select("grp", "doc", "comp", F.size("set").alias("n"), F.array_sort(F.array_except("set", "ref")).alias("more"), F.array_sort(F.array_except("ref", "set")).alias("less"))
+    names = groups.select(F.col("grp").alias("doc")).distinct()
+    refs = cut(_sets(docs, names, k).join(names, "doc").groupBy(F.col("doc").alias("grp")).agg(F.max("set").alias("ref")), "references")
+    own = groups.join(sets, "doc").join(refs, "grp").select("grp", "doc", "comp", F.size("set").alias("n"), F.array_sort(F.array_except("set", "ref")).alias("more"), F.array_sort(F.array_except("ref", "set")).alias("less"))
     own = own.select("grp", "doc", "comp", F.concat("more", "less").alias("d"), (q * (F.size("more") + F.size("less")) - (100 - percent) * F.col("n")).alias("w"))
     own = cut(own, "differences")
-    hubs = cut(own.groupBy("grp").agg(F.min("w").alias("least"), F.min_by("doc", "w").alias("hub")), "hubs")
+    some = F.size("d") > 0
+    hubs = own.groupBy("grp").agg(F.min("w").alias("least"), F.min_by("doc", "w").alias("hub"), F.min(F.when(some, F.col("w"))).alias("low"))
     own = own.join(hubs, "grp").withColumn("far", F.col("w") + F.col("least") > 0)
     certain = own.where("not far and doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-    first = lambda needed: F.explode(F.slice("d", F.lit(1), F.greatest(F.lit(0), F.size("d") + 1 - needed).cast("int"))).alias("e")
-    x = own.where("far").select("grp", "doc", "comp", first(F.ceil((F.col("w") + F.col("least")) / (2 * q)))).alias("x")
-    y = own.select("grp", "doc", "comp", "far", first(F.ceil((F.col("w") - F.col("least") + 1) / (2 * q)))).alias("y")
-    met = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.far") | (F.col("x.doc") < F.col("y.doc"))))
+    own = own.join(own.where("far").groupBy("grp").agg(F.min("w").alias("next")), "grp").where(some)
+    first = lambda shared: F.explode(F.slice("d", F.lit(1), F.greatest(F.lit(0), F.size("d") + 1 - F.greatest(F.lit(1), F.ceil(shared / (2 * q)))).cast("int"))).alias("e")
+    x = own.where("far").select("grp", "doc", "comp", "w", first(F.col("w") + F.col("low"))).alias("x")
+    y = own.select("grp", "doc", "comp", "w", first(F.col("w") + F.greatest("w", "next"))).alias("y")
+    less = F.struct("y.w", "y.doc") < F.struct("x.w", "x.doc")
+    met = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") != F.col("y.comp")) & less)
     pairs = cut(met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), "near")
     s, t = slim.alias("s"), slim.alias("t")
     return certain, pairs.join(s, pairs.a == F.col("s.doc")).join(t, pairs.b == F.col("t.doc")).where(_may_link("s", "t", percent)).select("a", "b")
@@ -408,7 +401,8 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     first = cut(best.where("may").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "pairs")
     star = _verify(first, rows, k, percent)
     comp = connected_components(star, "a", "b").select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-    fam = connected_components(best, "doc", "kin").select(F.col("node").alias("doc"), F.col("component").alias("fam"))
+    kin = best.select(F.col("kin").alias("doc")).distinct()  # each is a family of its own, others belong to the one they are near
+    fam = best.select("doc", F.col("kin").alias("fam")).join(kin, "doc", "left_anti")
 
     # Only lists that still hold several components are compared further: short ones pair by pair; the sets of long ones
     # in their families, and across families by their rarest elements.
@@ -418,10 +412,9 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     open_ = placed.join(mixed, "key")
     few = _pairs(open_.where(f"c <= {FEW}"), "key", slim, percent)
     long = cut(open_.where(f"c > {FEW}").groupBy("doc").agg(F.min("comp").alias("comp"), F.min("fam").alias("fam"), F.max(F.expr("fams > 1")).alias("across")), "undecided")
-    families = long.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("fam", "c")
-    kin = long.select("doc", "comp", "fam").join(families, "fam")
-    certain, many = _within(kin.where(f"c > {FEW}").select(F.col("fam").alias("grp"), "doc", "comp"), slim, rows, k, percent)
-    pairs = few.unionByName(many).unionByName(_pairs(kin.where(f"c <= {FEW}"), "fam", slim, percent)).unionByName(_across(long.where("across"), slim, rows, k, percent))
+    families = long.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fam")
+    certain, many = _within(long.join(families, "fam").select(F.col("fam").alias("grp"), "doc", "comp"), slim, rows, k, percent)
+    pairs = few.unionByName(many).unionByName(_across(long.where("across"), slim, rows, k, percent))
     more = cut(pairs.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     rest = _verify(more, rows, k, percent).unionByName(certain)
     final = connected_components(star.unionByName(rest), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
