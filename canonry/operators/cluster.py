@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -139,23 +143,60 @@ def elbow(inertias: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(F.max_by(F.when(F.col("d") < 0, F.col("k") + 1).otherwise(F.col("k")), F.struct(F.abs("d").alias("a"), (-F.col("k")).alias("b"))).alias("k"))
 
 
-def kmeans_elbow(embeddings: DataFrame, largest: int | None = None, seed: int = 42) -> DataFrame:
-    """(value, cluster) of one group of (value, embedding) by KMeans with the k of the elbow, of all k up to the number of values or to `largest`."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _seeds(x: np.ndarray, seed: int) -> np.ndarray:
+    """All points in an order whose first k are far apart: each next one is farthest from those before, ties by place."""
+    order = [int(np.random.default_rng(seed).integers(len(x)))]
+    far = ((x - x[order[0]]) ** 2).sum(axis=1)
+    far[order[0]] = -1
+    while len(order) < len(x):
+        order.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[order[-1]]) ** 2).sum(axis=1))
+        far[order] = -1
+    return np.array(order)
+
+
+def _lloyd(x: np.ndarray, centers: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, float]:
+    """(cluster of each point, inertia); a cluster that loses all points keeps its center."""
+    own = np.full(len(x), -1)
+    for _ in range(rounds):
+        apart = (centers**2).sum(axis=1) - 2 * (x @ centers.T)
+        new = apart.argmin(axis=1)
+        if (new == own).all():
+            break
+        own = new
+        size = np.bincount(own, minlength=len(centers))
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, x)
+        centers = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centers)
+    return own, float(((x - centers[own]) ** 2).sum())
+
+
+def kmeans_elbow(embeddings: DataFrame, largest: int | None = None, seed: int = 42, most_values: int = 20_000) -> DataFrame:
+    """(value, cluster) of one group of (value, embedding) by KMeans with the k of the elbow, of all k up to the number of values or to `largest`.
 
+    The fits of all k are spread over the cluster. A group is held whole by every task, as one fit needs all of it, so
+    one of more than most_values values is refused rather than cut.
+    """
     spark = embeddings.sparkSession
-    data = embeddings.select("value", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
-    n = data.count()
-    if n < 3:
-        return data.select("value", F.lit(0).alias("cluster"))
-    e = embeddings.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "x"))
-    one = e.groupBy("p").agg(F.var_pop("x").alias("v")).agg(F.sum("v")).first()[0] * n
-    fit = lambda k: KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
-    # the seed gives the same model again, so that not all of them are kept
-    costs = [(1, float(one))] + [(k, float(fit(k).summary.trainingCost)) for k in range(2, min(largest or n, n) + 1)]
-    k = elbow(spark.createDataFrame(costs, "k int, inertia double").withColumn("g", F.lit(1)), ["g"]).first()["k"]
-    return fit(k).transform(data).select("value", "cluster") if k > 1 else data.select("value", F.lit(0).alias("cluster"))
+    rows = embeddings.select("value", F.col("embedding").cast("array<double>").alias("e")).orderBy("value").limit(most_values + 1).collect()
+    n = len(rows)
+    if n > most_values:
+        raise ValueError(f"the group has more than {most_values} values")
+    x = np.array([r.e for r in rows], np.float64).reshape(n, -1)
+    label = np.zeros(n, np.int64)
+    if n >= 3:
+        sent = spark.sparkContext.broadcast((x, order := _seeds(x, seed)))
+
+        def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            data, first = sent.value
+            for b in batches:
+                ks = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_pydict({"k": pa.array(ks, pa.int32()), "inertia": pa.array([_lloyd(data, data[first[:k]])[1] for k in ks], pa.float64())})
+
+        ks = spark.range(1, min(largest or n, n) + 1).repartition(max(8, min(n, 4 * spark.sparkContext.defaultParallelism)))
+        costs = ks.mapInArrow(fits, "k int, inertia double").withColumn("g", F.lit(1))
+        label = _lloyd(x, x[order[: elbow(costs, ["g"]).first()["k"]]])[0]
+    return spark.createDataFrame([(r.value, int(c)) for r, c in zip(rows, label)], "value string, cluster int")
 
 
 def star_clusters(values: DataFrame, yes: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ ecos AS (SELECT a.attr, a.con, a.value AS v1, b.value AS v2, {r('list_cosine_sim
 links AS (SELECT * FROM sims WHERE sim >= 0.7),
 yes AS (SELECT {G}, v1, v2 FROM sims WHERE sim >= 0.5 AND {judge('v1', 'v2')} = 'yes'),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY attr, con ORDER BY sim DESC, v1, v2) AS rank FROM sims),
-asked AS (SELECT {G}, v1, v2, {TEMPLATE} || v1 || chr(10) || v2 || chr(10) || 'Output:' AS prompt, {rule('v1', 'v2')} AS raw, CASE WHEN length(v1) % 2 = 0 THEN 'cache' ELSE 'new' END AS source FROM ranked WHERE rank <= 20),
+asked AS (SELECT {G}, v1, v2, {TEMPLATE} || v1 || chr(10) || v2 || chr(10) || 'Output:' AS prompt, {rule('v1', 'v2')} AS raw, CASE WHEN length(v1) % 2 = 0 THEN 'cache' ELSE 'new' END AS source FROM sims),
 verdicts AS (SELECT {G}, least(lower(v1), lower(v2)) AS k1, greatest(lower(v1), lower(v2)) AS k2, min({rule('v1', 'v2')}) AS answer FROM sims WHERE length(v1) % 2 = 0 GROUP BY ALL),
 keyed AS (SELECT *, least(lower(v1), lower(v2)) AS k1, greatest(lower(v1), lower(v2)) AS k2 FROM sims),
 missed AS (SELECT k.* FROM keyed k ANTI JOIN verdicts v ON k.attr = v.attr AND k.con = v.con AND k.k1 = v.k1 AND k.k2 = v.k2)""",
@@ -184,7 +184,7 @@ def statements() -> dict[str, str]:
         "word_contains": "SELECT * FROM within",
         "strip_numbers": f"SELECT conv_id, turn, regexp_replace(text, '{NUMBER}', '', 'g') AS value FROM conversations",
         "script_filter": r"SELECT doc_id, regexp_matches(text, '[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x20-\x7F]') AS has_script FROM documents",
-        "prompt_build": f"SELECT {G}, v1, v2, b AS pair, b || chr(10) AS topk, b || chr(10) || 'Output:' AS early, b || chr(10) || 'Output:' AS review FROM (SELECT *, {TEMPLATE} || v1 || chr(10) || v2 AS b FROM ranked WHERE rank <= 20)",
+        "prompt_build": f"SELECT {G}, v1, v2, b AS pair, b || chr(10) AS topk, b || chr(10) || 'Output:' AS early, b || chr(10) || 'Output:' AS review FROM (SELECT *, {TEMPLATE} || v1 || chr(10) || v2 AS b FROM sims)",
         "parse_answer": _parse("text"),
         "parse_answer_llama": f"SELECT {G}, v1, v2, CASE WHEN raw IN ('yes', 'no') THEN raw ELSE 'unsure' END AS answer FROM asked",
         "tf": "SELECT * FROM tf",
