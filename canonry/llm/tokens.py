@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,10 @@ REMEMBERED = 400_000
 #: Pieces whose ids are laid out at a time.
 LAID_OUT = 1 << 18
 #: Marks that are neither letters, numbers nor white space; an apostrophe may begin a contraction and is not among them.
-MARKS = ",.;:!?*$#)-\""
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: How byte-level tokenizers spell bytes: printable ones as they are, the others in order from U+0100 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SPELLED = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 _SPACE = r"\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Texts in which a space (U+0020) stands before other white space, or after it at the end.
 UNEVEN = f" [{_SPACE}]|[{_SPACE}] \\z"
@@ -93,14 +97,21 @@ class Encoder:
                 cores.append(w)
         known = set(cores)
         cores += [c for c in dict.fromkeys(c for _, c in split) if c not in rows and c not in known]
-        plain = [w for w in cores if w.isascii() and w.isalpha()]
-        tokenize = self.tok.model.tokenize  # a run of letters is one pre-token: it goes to the model as it is
-        for k in range(0, len(plain) if self.letters else 0, 20_000):
-            lists = [[t.id for t in tokenize("Ġ" + w)] for w in plain[k : k + 20_000]]
+        plain, spelled, other = [], [], cores
+        if self.letters:  # a run of letters is one pre-token: it goes to the model as it is, spelled by its bytes
+            other = []
+            for w in cores:
+                if not w.isalpha() or not (w.isascii() or max(w) < "\u0250"):
+                    other.append(w)
+                    continue
+                plain.append(w)
+                spelled.append("Ġ" + (w if w.isascii() else w.encode().decode("latin-1").translate(SPELLED)))
+        tokenize = self.tok.model.tokenize
+        for k in range(0, len(plain), 20_000):
+            lists = [[t.id for t in tokenize(w)] for w in spelled[k : k + 20_000]]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            first = self._store(np.fromiter((i for x in lists for i in x), self.dtype, int(sizes.sum())), sizes)
+            first = self._store(np.array(list(chain.from_iterable(lists)), self.dtype), sizes)
             rows.update(zip(plain[k : k + 20_000], range(first, first + len(lists))))
-        other = [w for w in cores if not (w.isascii() and w.isalpha())] if self.letters else cores
         for k in range(0, len(other), 20_000):
             part = other[k : k + 20_000]
             ids = np.array(self.tok.encode(" " + " ".join(part), add_special_tokens=False).ids, self.dtype)
@@ -164,12 +175,15 @@ class Encoder:
         (used,) = np.nonzero(used)
         words = coded.dictionary.take(pa.array(used)).to_pylist()
         rows = self.rows
-        self._learn([w for w in words if w not in rows])
+        found = list(map(rows.get, words))
+        if None in found:
+            self._learn([w for w, r in zip(words, found) if r is None])
+            found = [rows[w] if r is None else r for w, r in zip(words, found)]
         if fresh := [h for h in dict.fromkeys(heads) if h not in self.heads]:
             first = self._whole(fresh)
             self.heads.update(zip(fresh, range(first, first + len(fresh))))
         row_of = np.zeros(len(coded.dictionary), np.int64)
-        row_of[used] = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+        row_of[used] = np.array(found, np.int64)
         kept, kept_ids = self.n, self.n_ids
         end = self._store(np.array([end_id], self.dtype), np.ones(1, np.int64))
         own = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
