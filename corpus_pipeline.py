@@ -41,7 +41,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL cannot express the stages that learn a model or encode tokens; tests hold run() against brute force.
+#: SQL cannot express the stages that learn a model or encode tokens; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
