@@ -6,253 +6,302 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canonry.llm.common import small_batches
+from canonry.llm.labelled_pages import labelled_pages
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|(?=<)|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)", re.S)
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-# Fixed values of HTML: elements without an end, elements whose content is not markup, and block elements.
+SENTENCE = re.compile(r"[.!?;:…。！？](?:\s|$|[\"'”’)»])")
+# Fixed values of HTML: elements without an end, elements whose content is not text of the page, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math select option button object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg select option button audio video".split())
+OPEN_ENDED = frozenset("select option button svg audio video".split())  # without an end tag, only the tag itself goes
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "caption", "tbody", "thead", "tfoot", "li", "dd", "dt"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SIBLINGS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
+BOUNDS = ("div", "article", "main", "section", "nav")
 ARTICLE = ("article", "main")
+#: Parts whose class, id and role are read; names of headings, cells and inline elements speak of the text, not the part.
+NAMED = frozenset("article aside body center dialog div dl fieldset footer form header main menu nav ol p section table ul".split())
+#: Elements that mark a part by themselves; the others may hold anything.
+TELLING = frozenset("article aside dialog fieldset footer form header label legend main menu nav".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
-#: A word's context weight is the best positive mark around it (BASE at least) plus all negative ones.
-BASE, MOST, LEAST = 0.5, 1.5, -6.0
+#: A block is out when the marks around it weigh this or less; a word scores between LEAST and MOST.
+OUT, LEAST, MOST = -1.0, -2.0, 1.5
+DEFAULT = 1.5  # log odds of a block without marks, when the marks are fitted
+STEPS, RATE, RIDGE = 3000, 2.0, 2e-4
 
 
 @dataclass
 class Block:
-    text: list[str]
     marks: frozenset[str]
     inside: bool  # in an article or main element
+    kind: str  # the element it stands in
+    text: list[str] = field(default_factory=list)
+    linked: int = 0  # characters of it that are link text
 
+    def words(self) -> str:
+        return " ".join("".join(self.text).split())
 
-def parse(page: str) -> tuple[list, bool]:
-    """The page as tokens in order: ("tag", name) or ("text", Block); and whether it has an article.
+
+@dataclass(slots=True)
+class Open:
+    name: str
+    marks: frozenset[str]
+    block: int  # place on the stack of the nearest block element, itself included
+    paragraph: int  # place of the paragraph open in that block, or -1
+
+
+def parse(page: str, known: frozenset[str] | None = None) -> list:
+    """The page as tokens in order: ("tag", name, marks, inside) or ("text", Block).
 
     Unclosed and misplaced tags are repaired as far as it matters: an end closes up to its start, a block start closes
-    an open paragraph, and unclosed inline elements end with their block.
+    an open paragraph, items and cells close their forerunner, and unclosed inline elements end with their block. Each
+    open element keeps the marks around it (of those `known`), so that the time grows with the page, however deep.
     """
     tokens: list = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Open] = []
+    places: dict[str, list[int]] = {}
+    endless: set[str] = set()
     block: Block | None = None
-    at, n, has = 0, len(page), False
+    at, n, none = 0, len(page), frozenset()
+
+    def last(name: str) -> int:
+        p = places.get(name)
+        return p[-1] if p else -1
+
+    def inside() -> bool:
+        return bool(places.get("article") or places.get("main"))
 
     def text(s: str) -> None:
         nonlocal block
-        if s:
-            if block is None:
-                marks = frozenset().union(*(m for _, m in stack)) if stack else frozenset()
-                block = Block([], marks, any(t in ARTICLE for t, _ in stack))
-                tokens.append(("text", block))
-            block.text.append(html.unescape(s))
-
-    def close(name: str) -> None:
-        if any(t == name for t, _ in stack):
-            while stack.pop()[0] != name:
-                pass
+        if not s:
+            return
+        if block is None:
+            if not s.strip():
+                return
+            k = stack[-1].block if stack else -1
+            block = Block(stack[-1].marks if stack else none, inside(), stack[k].name if k >= 0 else "body")
+            tokens.append(("text", block))
+        s = html.unescape(s)
+        block.text.append(s)
+        if places.get("a"):
+            block.linked += len(s)
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().name].pop()
 
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
             tail = page[at:]
-            cut = tail.rfind("<")
-            text(tail[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]", tail[cut:]) else tail)
+            k = tail.rfind("<")
+            text(tail[:k] if k >= 0 and re.match(r"</?[a-zA-Z!]", tail[k:]) else tail)
             break
         text(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
+        around = stack[-1].marks if stack else none
         if m[1]:
+            k = last(name)
             if name in BLOCKS:
                 block = None
-                close(name)
-            elif any(t == name and t not in BLOCKS for t, _ in stack):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if stack.pop(k)[1] & known():
-                            block = None
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-            tokens.append(("tag", name))
+                if k >= 0:
+                    cut(k)
+            elif k >= 0 and k > stack[-1].block:
+                cut(k)
+            tokens.append(("tag", name, around, inside()))
             continue
         attrs = m[3] or ""
         if name in RAW and not attrs.rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else (at if name in ("select", "option", "button", "object", "svg", "math", "audio", "video", "canvas") else n)
-            tokens.append(("tag", name))
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(name)
+                at = at if name in OPEN_ENDED else n
+            tokens.append(("tag", name, around, inside()))
             continue
-        if name == "br" or name == "img":
+        if name in ("br", "img"):
             if block is not None:
                 block.text.append(" ")
         elif name in BLOCKS:
             block = None
-            if name in CLOSES_P:
-                close_p(stack)
-            if name in ("li", "dd", "dt", "tr", "td", "th"):
-                _close_sibling(stack, name)
-        marks = {name}
-        if attrs:
-            for v in MARKS.findall(attrs):
-                marks.update("." + x for x in SPLIT.split("".join(v).lower()) if x)
-            if HIDDEN.search(attrs):
-                marks.add(".hidden")
+            if name in CLOSES_P and stack and stack[-1].paragraph >= 0:
+                cut(stack[-1].paragraph)
+            if name in SIBLINGS:
+                k = last(name)
+                if k >= 0 and k > max(last(b) for b in (*SIBLINGS[name], *BOUNDS)):
+                    cut(k)
+        around = stack[-1].marks if stack else none
         if name not in VOID and not (attrs.endswith("/") and name not in BLOCKS):
-            stack.append((name, frozenset(marks)))
-            if name not in BLOCKS and len(marks) > 1:
-                block = None if any(x in known() for x in marks if x[0] == ".") else block
-        has |= name in ARTICLE
-        tokens.append(("tag", name))
-    return tokens, has
-
-
-def close_p(stack: list) -> None:
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == "p":
-            del stack[k:]
-            return
-        if stack[k][0] in BLOCKS:
-            return
-
-
-def _close_sibling(stack: list, name: str) -> None:
-    """A list item, cell or row ends an open one of the same list or table."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == name:
-            del stack[k:]
-            return
-        if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "main", "section", "nav") or (name in ("td", "th") and stack[k][0] == "tr"):
-            return
-
-
-#: Labelled pages are made of parts: (start tag, inside a page with an article) with filler words, content or not.
-# Names that page authors give to parts that are not the article, and to the article.
-OUTSIDE = "ad ads adv advert advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar aside widget related recommended recommendations trending popular share sharing social breadcrumb breadcrumbs menu navbar nav navigation toolbar topbar footer foot header masthead comment comments commentlist disqus reply replies respond discussion pagination pager copyright legal disclaimer search skip hidden tracking contentinfo complementary".split()
-INSIDE = "article content entry post story body text main maincontent prose markdown".split()
-OUTSIDE_TAGS = "nav aside footer form dialog menu fieldset label noscript".split()
-
-
-def labelled_pages() -> list[tuple[str, list[str]]]:
-    """Small pages with the blocks that are their main text; words are numbered fillers, so no word is learned."""
-    pages = []
-    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
-    k = 0
-    parts = [(f"<{t}>", f"</{t}>") for t in OUTSIDE_TAGS] + [(f'<div class="{c}">', "</div>") for c in OUTSIDE] + [(f'<section id="{c}">', "</section>") for c in OUTSIDE]
-    for j, (a, z) in enumerate(parts):
-        k += 10
-        title, first, second = words(k, 6), words(k + 1, 40), words(k + 2, 50)
-        inner = f"<h1>{title}</h1><p>{first}</p><p>{second}</p>"
-        links = "".join(f'<li><a href="/{i}">{words(k + 3 + i, 1)}</a></li>' for i in range(5))
-        bad = f"{a}<ul>{links}</ul><p>{words(k + 8, 12)}</p>{z}"
-        good = INSIDE[j % len(INSIDE)]
-        wrap = [f"<article>{inner}</article>", f'<main><div class="{good}">{inner}</div></main>', f'<div class="{good}">{inner}</div>'][j % 3]
-        inside = f"<article><h1>{title}</h1><p>{first}</p>{bad}<p>{second}</p></article>"
-        foot = f"<footer>{words(k + 9, 8)}</footer>"
-        body = [f"{bad}{wrap}{foot}", f"<nav>{links}</nav>{wrap}{bad}{foot}", f"<div>{words(k + 4, 3)}</div>{inside}{foot}"][j % 3]
-        pages.append((f"<html><head><title>x</title></head><body>{body}</body></html>", [title, first, second]))
-    return pages
-
-
-@lru_cache(maxsize=1)
-def known() -> frozenset[str]:
-    return frozenset("." + c for c in OUTSIDE + INSIDE)
+            new = {name + ("@in" if name in ("header", "footer") and inside() else "")} if name in TELLING else set()
+            if attrs:
+                if name in NAMED:
+                    for v in MARKS.findall(attrs):
+                        v = "".join(v).lower()
+                        new.update("." + x + ("@in" if x in ("header", "footer") and inside() else "") for x in (v.split() if name == "p" else SPLIT.split(v)) if x)
+                if HIDDEN.search(attrs):
+                    new.add(".hidden")
+            if known is not None:
+                new &= known
+            top = len(stack)
+            paragraph = top if name == "p" else -1 if name in BLOCKS else (stack[-1].paragraph if stack else -1)
+            marks = around if new <= around else around | new
+            stack.append(Open(name, marks, top if name in BLOCKS else (stack[-1].block if stack else -1), paragraph))
+            places.setdefault(name, []).append(top)
+        tokens.append(("tag", name, around, inside()))
+    return tokens
+
+
+def shape(block: Block, words: str) -> list[str]:
+    """What a block looks like by itself: its element, length, share of link text and marks of sentences."""
+    n = words.count(" ") + 1
+    linked = block.linked / max(1, sum(map(len, block.text)))
+    return [
+        f"~{'heading' if block.kind in HEADINGS else block.kind if block.kind in ('p', 'li', 'td', 'pre', 'blockquote') else 'other'}",
+        f"~words{0 if n < 4 else 1 if n < 15 else 2}",
+        f"~links{0 if linked < 0.2 else 1 if linked < 0.7 else 2}",
+        f"~sentence{int(bool(SENTENCE.search(words)))}",
+    ]
 
 
 @dataclass(frozen=True)
 class Weights:
-    marks: dict[str, float]  # of a word, by what stands around it
-    tags: dict[str, float]  # of a tag, never above -0.02
+    bias: float
+    marks: dict[str, float]  # never above 0: how far a mark puts what it surrounds outside
+    words: dict[str, float]  # of a word that is not outside, by the marks around it and its block's shape
+    tags: dict[tuple[str, bool], float]  # of a tag, in an article or not; never above -0.02
+
+
+def has_article(tokens: list) -> bool:
+    """Whether the page's article or main elements hold at least a fifth of its words; else they are cards or stubs."""
+    count = Counter()
+    for t in tokens:
+        if t[0] == "text":
+            count[t[1].inside] += len(t[1].words().split())
+    return count[True] * 5 >= count[True] + count[False] and count[True] > 0
 
 
 def context(block: Block, has: bool) -> frozenset[str]:
     return block.marks | {"@outside"} if has and not block.inside else block.marks
 
 
+def _regression(rows: list[list[str]], labels: list[bool], offsets: np.ndarray, bias: float = 0.0, most: float = np.inf) -> tuple[dict[str, float], float]:
+    """Weights of features that are there or not, by ridge-penalised logistic regression; the bias is fitted unless weights have an upper bound."""
+    index: dict[str, int] = {}
+    at = [[index.setdefault(f, len(index)) for f in r] for r in rows]
+    x = np.zeros((len(rows), len(index)))
+    for i, r in enumerate(at):
+        x[i, r] = 1
+    y, w = np.array(labels, float), np.zeros(len(index))
+    for _ in range(STEPS):
+        off = 1 / (1 + np.exp(-(x @ w + bias + offsets))) - y
+        w = np.minimum(w - RATE * (x.T @ off / len(y) + RIDGE * w), most)
+        if most == np.inf:
+            bias -= RATE * off.mean()
+    return {f: float(w[k]) for f, k in index.items()}, float(bias)
+
+
+def fit_pages(pages: list[tuple[str, list[str]]]) -> Weights:
+    """Marks that put outside, from all blocks (first those of elements, then standing beside the article, which would
+    otherwise hide them); weights of words from the blocks left; log odds for tags."""
+    rows, labels, shapes, beside = [], [], [], []
+    tag_in, tag_out = Counter(), Counter()
+    for page, main in pages:
+        tokens, todo = parse(page), Counter(main)
+        has, good = has_article(tokens), []
+        for i, t in enumerate(tokens):
+            if t[0] != "text" or not (words := t[1].words()):
+                continue
+            hit = todo[words] > 0
+            todo[words] -= hit
+            if hit:
+                good.append(i)
+            rows.append(sorted(t[1].marks))
+            beside.append(["@outside"] if has and not t[1].inside else [])
+            shapes.append(shape(t[1], words))
+            labels.append(hit)
+        for i, t in enumerate(tokens):
+            if t[0] == "tag":
+                (tag_in if good and good[0] <= i <= good[-1] else tag_out)[t[1], t[3]] += 1
+    marks, _ = _regression(rows, labels, np.zeros(len(rows)), DEFAULT, 0.0)
+    around = np.array([sum(marks[m] for m in r) for r in rows])
+    marks |= _regression(beside, labels, around, DEFAULT, 0.0)[0]
+    around = np.array([sum(marks[m] for m in (*r, *b)) for r, b in zip(rows, beside)])
+    left = np.flatnonzero(around > OUT)
+    words, bias = _regression([rows[i] + shapes[i] for i in left], [labels[i] for i in left], np.zeros(len(left)))
+    t_in, t_out = sum(tag_in.values()) + 1, sum(tag_out.values()) + 1
+    tags = {t: min(-0.02, max(-1.0, log((tag_in[t] + 0.5) / t_in) - log((tag_out[t] + 0.5) / t_out))) for t in sorted(tag_in.keys() | tag_out.keys())}
+    return Weights(bias, marks, words, tags)
+
+
 @lru_cache(maxsize=1)
 def fit() -> Weights:
-    """Log odds of marks and tags between main text and the rest of the labelled pages."""
-    into, out, tag_in, tag_out = Counter(), Counter(), Counter(), Counter()
-    n_in = n_out = 0
-    for page, main in labelled_pages():
-        tokens, has = parse(page)
-        good = [i for i, (kind, x) in enumerate(tokens) if kind == "text" and " ".join("".join(x.text).split()) in main]
-        for i, (kind, x) in enumerate(tokens):
-            if kind == "tag":
-                (tag_in if good[0] <= i <= good[-1] else tag_out)[x] += 1
-                continue
-            k = len("".join(x.text).split())
-            if i in good:
-                n_in += k
-                into.update(dict.fromkeys(context(x, has), k))
-            else:
-                n_out += k
-                out.update(dict.fromkeys(context(x, has), k))
-    odds = lambda a, b: log((a + 0.5) / (n_in + 1)) - log((b + 0.5) / (n_out + 1))
-    marks = {m: max(LEAST, min(MOST, odds(into[m], out[m]))) for m in into.keys() | out.keys()}
-    neutral = ("html", "body", "div", "section", "ul", "ol", "li", "a", "b", "i", "em", "strong", "span")
-    marks = {m: w for m, w in marks.items() if m not in neutral and (w > 0 or w < -1)}
-    t_in, t_out = sum(tag_in.values()), sum(tag_out.values())
-    tags = {t: min(-0.02, max(-2.0, log((tag_in[t] + 0.5) / t_in) - log((tag_out[t] + 0.5) / t_out))) for t in tag_in.keys() | tag_out.keys()}
-    return Weights(marks, tags)
-
-
-def word_weight(marks: frozenset[str], w: dict[str, float]) -> float:
-    best, bad = BASE, 0.0
-    for m in marks:
-        x = w.get(m, 0.0)
-        if x > 0:
-            best = max(best, x)
-        else:
-            bad += x
-    return best + bad
-
-
-def extract(page: str | None) -> str:
-    """The page's main text: blocks joined by one newline, empty if there is none.
+    return fit_pages(labelled_pages())
 
-    Every word scores by what stands around it, every tag negatively; a linear scan finds the run of tokens with the
-    largest sum (of equal ones the first). Blocks of the run whose words score negatively (an advert in the article)
-    are left out; inside an article they do not count in the scan, so they do not part it.
-    """
-    if not page:
-        return ""
-    weights = fit()
-    tokens, has = parse(page)
-    sums: list[float] = []
-    seen: dict = {}
-    for kind, x in tokens:
-        if kind == "tag":
-            sums.append(weights.tags.get(x, -0.3))
-            continue
-        key = (x.marks, x.inside)
-        if key not in seen:
-            seen[key] = word_weight(context(x, has), weights.marks)
-        s, n = seen[key], len("".join(x.text).split())
-        sums.append((0.0 if x.inside and s < 0 else max(s, -2.0)) * n)
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """(start, end) of the run with the largest sum, the first of equal ones and the shorter at its start; (0, 0) if no sum is positive."""
     best, a, b, run, start = 0.0, 0, 0, 0.0, 0
-    for i, s in enumerate(sums):
+    for i, s in enumerate(scores):
         if run <= 0:
             run, start = 0.0, i
         run += s
         if run > best + 1e-9:
             best, a, b = run, start, i + 1
-    out = []
-    for kind, x in tokens[a:b]:
-        if kind == "text" and seen[x.marks, x.inside] > 0 and (t := " ".join("".join(x.text).split())):
-            out.append(t)
-    return "\n".join(out)
+    return a, b
+
+
+def extract(page: str | None, weights: Weights | None = None) -> str:
+    """The page's main text: blocks joined by one newline, empty if there is none.
+
+    Every word scores by what stands around it and by its block's shape, every tag negatively; a linear scan finds the
+    run of tokens with the largest sum (of equal ones the first). Blocks that the marks around them alone put outside
+    (an advert, a bar of links) count nothing in the scan, with their tags, so that they do not part a run, and are
+    left out of it. Words in an article that are not so marked never score negatively.
+    """
+    if not page:
+        return ""
+    w = weights or fit()
+    known = frozenset(w.marks)
+    tokens = parse(page, known)
+    has, sums = has_article(tokens), {}
+
+    def around(marks: frozenset[str]) -> float:
+        if marks not in sums:
+            sums[marks] = sum(w.marks.get(m, 0.0) for m in marks)
+        return sums[marks]
+
+    texts, scores = {}, []
+    for i, t in enumerate(tokens):
+        if t[0] == "tag":
+            scores.append(0.0 if around(t[2]) <= OUT else w.tags.get((t[1], t[3]), -0.02 if t[3] and has else -0.3))
+            continue
+        block = t[1]
+        words, s = block.words(), around(context(block, has))
+        if not words or s <= OUT:
+            scores.append(0.0)
+            continue
+        texts[i] = words
+        s = max(LEAST, min(MOST, w.bias + sum(w.words.get(f, 0.0) for f in (*block.marks, *shape(block, words)))))
+        scores.append((max(s, 0.5) if has else s) * (words.count(" ") + 1))
+    a, b = best_run(scores)
+    return "\n".join(texts[i] for i in range(a, b) if i in texts)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -262,10 +311,11 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     columns are ignored; no rows give no rows.
     """
     small_batches(pages.sparkSession)
+    weights = fit()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(h) for h in b.column(2).to_pylist()]
+            texts = [extract(h, weights) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({"page_id": b.column(0), "url": b.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
