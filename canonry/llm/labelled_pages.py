@@ -43,6 +43,16 @@ LAYOUTS = [
     """<div class="cookie-notice"><p>$S</p></div><div class="skip"><a href="/m">$W</a></div><div class="text"><h2>{{$T}}</h2><p>{{$P}}</p><div class="promo"><p>$S</p></div><p>{{$P}}</p></div><div id="disqus"><p>$P</p><p>$P</p></div><div class="modal overlay"><p>$S</p></div><div class="copyright legal"><p>$S</p></div><div class="pager"><a href="/2">$W</a></div>""",
     # a site of a common publishing system
     """<div class="site page"><header class="site-header"><p class="site-title">$W</p><nav class="site-navigation"><ul>$L</ul></nav></header><div class="site-content"><div class="content-area"><main class="site-main"><article class="post entry"><header class="entry-header"><h1>{{$T}}</h1></header><div class="entry-content top"><p>{{$P}}</p><p>{{$P}}</p><ul><li>{{$S}}</li></ul></div><footer class="entry-footer"><p>$S</p></footer></article><div class="comments-area"><p>$P</p></div></main></div><aside class="widget-area"><p>$S</p></aside></div><footer class="site-footer"><p>$S</p></footer></div>""",
+    # a magazine: branding, links, a discussion, a second column
+    """<header id="branding"><p>$W</p></header><div class="nav-links"><ul>$L</ul></div><div id="primary"><div class="blog-entry"><h1>{{$T}}</h1><p>{{$P}}</p><div class="ads-slot"><p>$S</p></div><p>{{$P}}</p></div><div class="discussion"><h3>$W</h3><p>$P</p><p>$P</p></div></div><div id="secondary"><ul>$L</ul><p>$S</p></div><div class="site-info"><p>$S</p></div>""",
+    # sections, consent before and recommendations after them
+    """<div class="gdpr"><p>$S</p></div><section><h1>{{$T}}</h1><p>{{$P}}</p><aside><p>$P</p></aside><p>{{$P}}</p></section><section class="recommended recommendations"><h2>$W</h2><p>$S</p><ul>$L</ul></section><div class="disclaimer"><p>$S</p></div><footer><p>$S</p></footer>""",
+    # a wrapped article, tags and feeds around it
+    """<div id="wrapper"><div id="masthead"><p>$S</p></div><div id="navigation"><ul>$L</ul></div><article><p>{{$P}}</p><h3>{{$T}}</h3><ol><li>{{$S}}</li></ol><p>{{$P}}</p><div class="tags"><a href="/a">$W</a><a href="/b">$W</a></div><div class="outbrain feed"><p>$S</p></div></article></div>""",
+    # parts named in many ways around one text
+    """<div class="announcement"><p>$S</p></div><div class="toolbar"><ul>$L</ul></div><div class="breadcrumbs"><a href="/">$W</a></div><div class="document"><h1>{{$T}}</h1><p>{{$P}}</p><div class="adsense adv"><p>$S</p></div><p>{{$P}}</p><div class="sharing"><p>$S</p></div><p>{{$P}}</p></div><div class="respond reply-form"><p>$S</p></div><div class="popular"><p>$S</p></div><div class="subscription"><p>$S</p></div><div class="credits"><p>$S</p></div>""",
+    """<div class="hero"><h1>{{$T}}</h1></div><div class="sponsor"><p>$S</p></div><div class="prose"><p>{{$P}}</p><p>{{$P}}</p><div class="advert"><p>$S</p></div><p>{{$P}}</p></div><div class="responses"><p>$P</p><p>$P</p></div><div class="comment-list"><p>$P</p></div><div class="register"><p>$S</p></div><div class="cookies"><p>$S</p></div><div class="foot"><p>$S</p></div>""",
+    """<div class="announce warning"><p>$S</p></div><div id="top-menu"><ul>$L</ul></div><div id="article-text"><h1>{{$T}}</h1><p>{{$P}}</p><p>{{$P}}</p><p>{{$P}}</p></div><div class="follow"><p>$S</p></div><div class="promotion"><p>$S</p></div><div class="guestbook"><p>$P</p></div><div class="terms privacy"><p>$P</p></div><div class="search"><p>$S</p></div><div class="taboola"><p>$S</p></div>""",
     # held out: a blog with an article and much beside it
     """<header class="top-header"><h2>$W</h2></header><nav><ul>$L</ul></nav><article class="post"><h1>{{$T}}</h1><p>{{$P}}</p><div class="social-share"><ul>$L</ul></div><p>{{$P}}</p><ul><li>{{$S}}</li></ul></article><aside class="widget-area"><p>$P</p></aside><div class="comments-area"><p>$P</p><p>$P</p></div><footer><ul>$L</ul></footer>""",
     # held out: neutral parts, a bare menu and a long bar of links inside
