@@ -114,7 +114,7 @@ def queries() -> dict[str, Query]:
         "word_contains": lambda s, d: T.contained_words(D.values(s, d)),
         "strip_numbers": lambda s, d: D.table(s, d, "conversations").select("conv_id", "turn", T.strip_numbers(c("text")).alias("value")),
         "script_filter": lambda s, d: D.table(s, d, "documents").select("doc_id", T.in_script(c("text")).alias("has_script")),
-        "subsequence_expand": lambda s, d: D.part_values(s, d).select(*GROUP, "value", T.subsequence_expand(c("value")).alias("expanded")),
+        "subsequence_expand": lambda s, d: D.part_values(s, d).select(*GROUP, "value", T.spelled_out(c("value")).alias("expanded")),
         "prompt_build": lambda s, d: _sims(s, d).select(*GROUP, "v1", "v2", *[T.prompt(F.lit(TEMPLATE), c("v1"), c("v2"), k).alias(k) for k in ("pair", "topk", "early", "review")]),
         "parse_answer": lambda s, d: D.table(s, d, "conversations").select("conv_id", "turn", T.parse_answer(c("text")).alias("answer")),
         "parse_answer_llama": lambda s, d: _asked(s, d).select(*GROUP, "v1", "v2", T.parse_completion(F.concat(F.lit("Input:\nx\ny\nOutput: no\nInput:\n"), "v1", F.lit("\n"), "v2", F.lit("\nOutput： "), "raw", F.lit("\n")), c("v1"), c("v2")).alias("answer")),

@@ -96,6 +96,40 @@ def subsequence_expand(value: Column, mode: str = "l2s", longest: int = 509) ->
     return joined
 
 
+def spelled_out(value: Column, mode: str = "l2s", longest: int = 509) -> Column:
+    """A text for an encoder with the substrings of its runs of Chinese or ASCII characters, each with [SEP].
+
+    l2s: behind the text, long ones first, of one length by place; a text that is one run is not repeated before them.
+    s2l: before the text, each in front of the one before, from single characters up to one less than the longest run.
+    A substring that would exceed `longest` is left out with its [SEP]; a [SEP] counts one. A text without a run counts
+    as its own substring (l2s) or stays alone (s2l). Null stays null, an empty text is [SEP] (l2s) or empty (s2l).
+    """
+    if mode not in ("l2s", "s2l"):
+        raise ValueError("mode is l2s or s2l")
+    parts = F.filter(F.split(value, r"[^\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x20-\x7F]"), lambda t: t != "")
+    top = F.coalesce(F.array_max(F.transform(parts, F.length)), F.lit(0))
+    none = F.array().cast("array<int>")
+    down = mode == "l2s"
+    if down:
+        lengths = F.when(top > 0, F.sequence(F.least(top, F.lit(longest)), F.lit(1), F.lit(-1))).otherwise(none)
+    else:
+        lengths = F.when(top > 1, F.sequence(F.lit(1), F.least(top - 1, F.lit(longest)))).otherwise(none)
+
+    def of_length(n: Column) -> Column:
+        cuts = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))
+        return F.flatten(F.transform(F.filter(parts, lambda t: F.length(t) >= n), cuts))
+
+    def take(acc: Column, piece: Column) -> Column:
+        text = F.concat(acc["s"], F.lit("[SEP]"), piece) if down else F.concat(piece, F.lit("[SEP]"), acc["s"])
+        return F.when(acc["n"] + F.length(piece) > longest, acc).otherwise(F.struct(text.alias("s"), (acc["n"] + F.length(piece) + 1).alias("n")))
+
+    kept = ~F.array_contains(parts, value) if down else F.lit(True)
+    start = F.struct(F.when(kept, value).otherwise("").alias("s"), F.when(kept, F.length(value)).otherwise(0).alias("n"))
+    out = F.aggregate(lengths, start, lambda acc, n: F.aggregate(of_length(n), acc, take))["s"]
+    alone = F.when(F.length(value) + 1 <= longest, F.concat(value, F.lit("[SEP]"), value)).otherwise(value) if down else value
+    return F.when(value.isNull(), None).when(F.size(parts) == 0, alone).otherwise(out)
+
+
 def prompt(template: Column, a: Column, b: Column, variant: str = "pair", dataset: str = "dbpedia") -> Column:
     """A question about two values. variant: pair, topk, early or review."""
     base = F.concat(template, a, F.lit("\n"), b)
@@ -143,9 +177,9 @@ def parse_answer(answer: Column) -> Column:
 
 
 def parse_completion(answer: Column, a: Column, b: Column) -> Column:
-    """The answer to a pair in a completion: of the first segment that repeats both values."""
-    seg = F.element_at(F.filter(F.split(answer, "Input"), lambda s: F.contains(s, F.concat(F.lit("\n"), a, F.lit("\n"))) & F.contains(s, F.concat(F.lit("\n"), b, F.lit("\n")))), 1)
-    last = F.lower(F.element_at(F.split(F.regexp_replace(F.element_at(F.split(seg, "Output"), -1), "^[: \n：]+|[: \n：]+$", ""), "\n"), 1))
+    """The answer to a pair in a completion: of the first segment that repeats both values; yes and no count as they are spelled here."""
+    seg = F.get(F.filter(F.split(answer, "Input"), lambda s: F.contains(s, F.concat(F.lit("\n"), a, F.lit("\n"))) & F.contains(s, F.concat(F.lit("\n"), b, F.lit("\n")))), F.lit(0))
+    last = F.element_at(F.split(F.regexp_replace(F.element_at(F.split(seg, "Output"), -1), "^[: \n：]+|[: \n：]+$", ""), "\n"), 1)
     return F.when(seg.isNull(), "unknow").when(last.isin("yes", "no"), last).otherwise("unsure")
 
 
