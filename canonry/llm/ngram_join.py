@@ -20,6 +20,8 @@ from canonry.plans.scratch import cut, discard
 SKETCH = [f"s{i}" for i in range(8)]  # 512 parity bits
 #: Lists of up to so many sets are compared pair by pair, the sets of longer ones by families and rare elements.
 FEW = 32
+#: What more than one in so many of a family's members differ in from their reference is ordered by how many do.
+OFTEN = 32
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -305,8 +307,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 def _within(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Certain links and candidates (a, b) of families (grp, doc, comp), without comparing all members.
 
-    The set of the document that a family is named after is its reference (any set gives right results), and a member
-    is its difference D from it, elements of its own first. With q = 100 + percent and W = q |D| - (100 - percent) n, two
+    A family's reference is what more than half of its members hold (any set gives right results); it is found from their
+    differences to the document that the family is named after. A member is its difference D from the reference, elements
+    that fewest members differ in first. With q = 100 + percent and W = q |D| - (100 - percent) n, two
     members link exactly when their differences share at least (W + W') / 2q elements. Members whose W is not above
     the negated smallest W link with the member that has the smallest, and need no comparison with each other; the others
     are far. Of a pair with a far member that with the larger W is far. Both hold a shared element among the first
@@ -317,8 +320,20 @@ def _within(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent
     sets = _sets(docs, groups.select("doc").distinct(), k)
     names = groups.select(F.col("grp").alias("doc")).distinct()
     refs = cut(_sets(docs, names, k).join(names, "doc").groupBy(F.col("doc").alias("grp")).agg(F.max("set").alias("ref")), "references")
-    own = groups.join(sets, "doc").join(refs, "grp").select("grp", "doc", "comp", F.size("set").alias("n"), F.array_sort(F.array_except("set", "ref")).alias("more"), F.array_sort(F.array_except("ref", "set")).alias("less"))
-    own = own.select("grp", "doc", "comp", F.concat("more", "less").alias("d"), (q * (F.size("more") + F.size("less")) - (100 - percent) * F.col("n")).alias("w"))
+    own = groups.join(sets, "doc").join(refs, "grp").select("grp", "doc", "comp", F.size("set").alias("n"), F.array_except("set", "ref").alias("more"), F.array_except("ref", "set").alias("less"))
+    own = cut(own, "first-differences")
+    size = groups.groupBy("grp").agg(F.count("*").alias("c"))
+    tell = own.select("grp", F.explode(F.concat(F.transform("more", lambda e: F.struct(e.alias("e"), F.lit(True).alias("own"))), F.transform("less", lambda e: F.struct(e.alias("e"), F.lit(False).alias("own"))))).alias("x")).select("grp", "x.e", "x.own")
+    often = tell.groupBy("grp", "e", "own").agg(F.count("*").alias("times")).join(size, "grp").where(F.col("times") > F.greatest(F.lit(1), F.col("c") / OFTEN))
+    held = F.when(F.col("own"), F.col("times")).otherwise(F.col("c") - F.col("times"))
+    often = often.select("grp", "e", ((2 * held > F.col("c")) == F.col("own")).alias("moved"), "times", "c")
+    often = often.select("grp", "e", "moved", F.when(F.col("moved"), F.col("c") - F.col("times")).otherwise(F.col("times")).alias("times"))
+    often = often.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).getField("e").alias("often"), F.collect_list(F.when(F.col("moved"), F.col("e"))).alias("moved"))
+    none = F.expr("CAST(array() AS array<long>)")
+    own = own.withColumn("d", F.concat("more", "less")).join(often, "grp", "left").withColumns({c: F.coalesce(c, none) for c in ("often", "moved")})
+    own = own.withColumn("d", F.concat(F.array_except("d", "moved"), F.array_except("moved", "d")))
+    own = own.withColumn("d", F.concat(F.array_sort(F.array_except("d", "often")), F.array_intersect("often", "d")))
+    own = own.select("grp", "doc", "comp", "d", (q * F.size("d") - (100 - percent) * F.col("n")).alias("w"))
     own = cut(own, "differences")
     some = F.size("d") > 0
     hubs = own.groupBy("grp").agg(F.min("w").alias("least"), F.min_by("doc", "w").alias("hub"), F.min(F.when(some, F.col("w"))).alias("low"))
