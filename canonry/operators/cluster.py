@@ -13,6 +13,8 @@ from pyspark.sql.window import Window as W
 
 from canonry.functions.text import GROUP
 from canonry.operators.components import connected_components
+from canonry.operators.dense import near_links
+from canonry.plans.scratch import cut
 
 #: Groups with more links than this go through distributed rounds, not through one task.
 ONE_TASK_LINKS = 200_000
@@ -68,6 +70,12 @@ def dbscan(values: DataFrame, distances: DataFrame, eps: float = 0.5) -> DataFra
     return values.select(*GROUP, "value").distinct().join(comp, [*GROUP, "value"], "left").select(*GROUP, "value", F.col("component").alias("cluster"))
 
 
+def dbscan_vectors(embeddings: DataFrame, eps: float = 0.5) -> DataFrame:
+    """dbscan() of (attr, con, value, embedding) by Euclidean distance, without writing out the pairs."""
+    links = cut(near_links(embeddings, eps), "near-links")
+    return dbscan(embeddings, links.withColumn("dist", F.lit(0.0)), eps)
+
+
 def modularity(edges: DataFrame, clusters: DataFrame, gamma: float = 1.0) -> DataFrame:
     """(attr, con, modularity) of clusters (attr, con, value, cluster) over weighted links."""
     c = clusters.select(*GROUP, "value", "cluster")
