@@ -23,3 +23,18 @@ def test_texts_without_a_letter_are_undetermined_and_ties_go_by_name(spark):
     assert model.label(odd) == [("und", 0.0)] * len(odd)
     rows = spark.createDataFrame([(1, "hello"), (1, "①"), (1, "hello")], "doc_id long, text string")
     assert sorted(tuple(r) for r in langid.identify(rows, model).collect()) == [(1, "aa", 1.0), (1, "aa", 1.0), (1, "und", 0.0)]
+
+
+def test_words_end_at_numbers_and_are_found_fast():
+    import re
+    import time
+
+    slow = re.compile(rf"[^\W\d_{langid.NUMBERS}]+")
+    text = "maſs ½liter ①eins Ⅷacht x²y 東京三〇 été_année 12ab " + "größere Wörter stehen hier, прямо здесь " * 20000
+    began = time.perf_counter()
+    want = slow.findall(text)
+    middle = time.perf_counter()
+    assert langid.words_of(text) == want
+    assert time.perf_counter() - middle < 0.7 * (middle - began)
+    every = " ".join(f"{chr(c)}x{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    assert langid.WORD.findall(langid.letters_only(every)) == slow.findall(every)
