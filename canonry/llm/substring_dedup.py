@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canonry.llm.common import small_batches, text_hash
-from canonry.plans.scratch import cut
+from canonry.plans.scratch import cut, discard
 
 #: A chunk ends after a word whose gear hash is the least of some WINDOW neighbouring words, so it has WINDOW words at most.
 WINDOW = 4
@@ -144,13 +144,20 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFra
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u, sizes, words = [], [], []
+            u = []
             for text in b.column(1).to_pylist():
-                d, c, w = chunks(text)
+                d, _, w = chunks(text)
                 u.append(units(d, w)[0].view(np.int64))
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "th": b.column(2), "unit": pa.array(u, pa.list_(pa.int64()))})
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, words = [], []
+            for text in b.column(1).to_pylist():
+                _, c, w = chunks(text)
                 sizes.append(np.diff(c, prepend=0).astype(np.int32).tobytes())
                 words.append(w.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "th": b.column(2), "unit": pa.array(u, pa.list_(pa.int64())), "sizes": pa.array(sizes, pa.binary()), "words": pa.array(words, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "th": b.column(2), "sizes": pa.array(sizes, pa.binary()), "words": pa.array(words, pa.binary())})
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,11 +170,12 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFra
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "th", "start", "end", "n_words", "first_doc_id"), cols)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), text_hash(text_col).alias("th")).where("doc is not null and text is not null and text <> ''")
-    table = cut(rows.mapInArrow(chunked, "doc long, th long, unit array<long>, sizes binary, words binary"), "chunks")
+    table = cut(rows.mapInArrow(chunked, "doc long, th long, unit array<long>"), "units")
     each = table.select("doc", "th", F.posexplode("unit").alias("pos", "unit")).where("doc is not null and pos is not null and unit is not null").repartition("unit")
     firsts = each.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("at")).where("n > 1").select("unit", "at")
     hits = cut(each.join(firsts, "unit").where("doc <> at.doc or th <> at.th or pos <> at.pos").groupBy("doc", "th").agg(F.collect_set(F.struct("pos", F.col("at.doc").alias("first"))).alias("hits")), "hits")
-    own = table.select("doc", "th", "sizes", "words").join(hits.select("doc", "th"), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
+    discard(table)  # the chunks of documents with hits are formed anew rather than kept beside the units
+    own = rows.mapInArrow(sized, "doc long, th long, sizes binary, words binary").join(hits.select("doc", "th"), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
     found = hits.join(own, ["doc", "th"]).select("doc", "th", "hits", "sizes", "words")
     return found.mapInArrow(passages, "doc_id long, th long, start long, end long, n_words long, first_doc_id long")
 

@@ -1,5 +1,6 @@
 """Repeated passages of any make are found."""
 
+import glob
 import numpy as np
 
 from canonry.llm import substring_dedup
@@ -81,3 +82,14 @@ def test_rows_that_repeat_an_id_long_texts_and_ties(spark):
         assert any(t[r.start : r.end].strip() and any(t[r.start : r.end].strip() in f for f in texts[r.first_doc_id]) for t in texts[r.doc_id])
     left = sorted((r.doc_id or 0, len(r.text.split())) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
     assert len(left) == len(rows) and (2, 40_000) in left and (0, 60) in left and [n for i, n in left if i == 3][0] < 100
+
+
+def test_units_are_gone_once_they_have_met(spark):
+    from canonry.plans.scratch import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*"))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, "a b c " + text)], "doc_id long, text string")
+    assert [r.first_doc_id for r in substring_dedup.find_repeats(docs).collect()] == [1]
+    assert {f.rsplit("/", 1)[1].split("-")[0] for f in set(glob.glob(f"{folder}/*")) - before} == {"hits"}
