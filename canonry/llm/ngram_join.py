@@ -22,6 +22,8 @@ SKETCH = [f"s{i}" for i in range(8)]  # 512 parity bits
 FEW = 32
 #: What more than one in so many of a family's members differ in from their reference is ordered by how many do.
 OFTEN = 32
+#: Elements of a family's members that are counted in one part, and that a task adds up at a time.
+COUNTED = 1 << 21
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -304,6 +306,65 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return out
 
 
+def _often(own: DataFrame) -> DataFrame:
+    """What often sets members of families (grp, c, parts, more, less) apart from their reference.
+
+    `c` is a family's number of members. By family: `moved`, the elements that the reference should hold and lacks or the
+    other way round, and `often`, all elements in which more than one in OFTEN of the members differ from the reference
+    after that, fewest first. Tasks add up before anything is sent: a row holds a family's elements of one of its parts.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        waiting = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            out: dict[str, list] = {c: [] for c in ("grp", "c", "part", "e", "times")}
+            for (grp, c, parts), lists in held.items():
+                (more, m), (less, n) = (np.unique(np.concatenate(lists[i::2]), return_counts=True) for i in (0, 1))
+                e, times = np.concatenate([more, less]), np.concatenate([m, -n])
+                part = e % parts
+                for p in np.unique(part).tolist():
+                    for name, v in zip(out, (grp, c, p, e[part == p], times[part == p])):
+                        out[name].append(v)
+                if len(out["grp"]) >= 1000:
+                    yield pa.RecordBatch.from_pydict(out, told_schema)
+                    out = {c: [] for c in out}
+            if out["grp"]:
+                yield pa.RecordBatch.from_pydict(out, told_schema)
+            held.clear()
+
+        for b in batches:
+            own = (b.column(i).to_pylist() for i in range(3))
+            sides = [(x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()) for x in (b.column(3), b.column(4))]
+            for i, family in enumerate(zip(*own)):
+                for flat, at in sides:
+                    held.setdefault(family, []).append(flat[at[i] : at[i + 1]])
+                    waiting += int(at[i + 1] - at[i])
+                if waiting >= COUNTED:
+                    yield from told()
+                    waiting = 0
+        yield from told()
+
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
+        e, times = (np.concatenate([x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in t.column(c).chunks]) for c in ("e", "times"))
+        e, of = np.unique(e, return_inverse=True)
+        total = np.zeros(len(e), np.int64)
+        np.add.at(total, of, times)
+        c, own, times = t.column("c")[0].as_py(), total > 0, np.abs(total)
+        keep = times > max(1, c / OFTEN)
+        e, own, times = e[keep], own[keep], times[keep]
+        moved = (2 * np.where(own, times, c - times) > c) == own
+        some = pa.StructArray.from_arrays([pa.array(np.where(moved, c - times, times)), pa.array(e)], ["times", "e"])
+        offsets = pa.array([0, len(e)], pa.int32())
+        return pa.table({"grp": pa.array([key[0].as_py()], pa.int64()), "told": pa.ListArray.from_arrays(offsets, some), "moved": pa.array([e[moved]], pa.list_(pa.int64()))})
+
+    told_schema = pa.schema([*((c, pa.int64()) for c in ("grp", "c", "part")), ("e", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    added = own.mapInArrow(add, "grp long, c long, part long, e array<long>, times array<long>")
+    merged = added.groupBy("grp", "part").applyInArrow(merge, "grp long, told array<struct<times: long, e: long>>, moved array<long>")
+    return merged.groupBy("grp").agg(F.array_sort(F.flatten(F.collect_list("told"))).getField("e").alias("often"), F.flatten(F.collect_list("moved")).alias("moved"))
+
+
 def _within(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Certain links and candidates (a, b) of families (grp, doc, comp), without comparing all members.
 
@@ -322,13 +383,8 @@ def _within(groups: DataFrame, slim: DataFrame, docs: DataFrame, k: int, percent
     refs = cut(_sets(docs, names, k).join(names, "doc").groupBy(F.col("doc").alias("grp")).agg(F.max("set").alias("ref")), "references")
     own = groups.join(sets, "doc").join(refs, "grp").select("grp", "doc", "comp", F.size("set").alias("n"), F.array_except("set", "ref").alias("more"), F.array_except("ref", "set").alias("less"))
     own = cut(own, "first-differences")
-    size = groups.groupBy("grp").agg(F.count("*").alias("c"))
-    tell = own.select("grp", F.explode(F.concat(F.transform("more", lambda e: F.struct(e.alias("e"), F.lit(True).alias("own"))), F.transform("less", lambda e: F.struct(e.alias("e"), F.lit(False).alias("own"))))).alias("x")).select("grp", "x.e", "x.own")
-    often = tell.groupBy("grp", "e", "own").agg(F.count("*").alias("times")).join(size, "grp").where(F.col("times") > F.greatest(F.lit(1), F.col("c") / OFTEN))
-    held = F.when(F.col("own"), F.col("times")).otherwise(F.col("c") - F.col("times"))
-    often = often.select("grp", "e", ((2 * held > F.col("c")) == F.col("own")).alias("moved"), "times", "c")
-    often = often.select("grp", "e", "moved", F.when(F.col("moved"), F.col("c") - F.col("times")).otherwise(F.col("times")).alias("times"))
-    often = often.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).getField("e").alias("often"), F.collect_list(F.when(F.col("moved"), F.col("e"))).alias("moved"))
+    size = groups.join(slim, "doc").groupBy("grp").agg(F.count("*").alias("c"), (1 + F.floor(F.sum(slim.n) / COUNTED)).alias("parts"))
+    often = _often(own.join(size, "grp").select("grp", "c", "parts", "more", "less"))
     none = F.expr("CAST(array() AS array<long>)")
     own = own.withColumn("d", F.concat("more", "less")).join(often, "grp", "left").withColumns({c: F.coalesce(c, none) for c in ("often", "moved")})
     own = own.withColumn("d", F.concat(F.array_except("d", "moved"), F.array_except("moved", "d")))
