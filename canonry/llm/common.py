@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def giving_back(apply: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`apply`, after which the worker, which is kept for later tasks, gives the memory it has freed back to the host."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from apply(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
@@ -41,16 +54,24 @@ def ascii_lower(col: Column) -> Column:
 def hash_words(texts: pa.Array, between: str, lower: Callable, digest: Callable, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words, one text after the other, and where each text begins (n + 1 places).
 
-    `between` is the pattern of what parts words; null texts have none. Each distinct word of the batch is hashed once.
+    `between` is the pattern of what parts words, a space among it; `lower` takes each character by itself; null texts
+    have none. Texts are cut at spaces, and each distinct piece of the batch is lowered, split and hashed once.
     """
-    parts = pc.split_pattern_regex(lower(pc.fill_null(texts.cast(pa.large_string()), "")), between)
-    at = parts.offsets.to_numpy()
-    coded = parts.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    index = coded.indices.to_numpy()
-    keep = np.array([w != "" for w in words], bool)[index] if words else np.empty(0, bool)
-    hashes = np.fromiter(map(digest, words), dtype, len(words))
-    return hashes[index[keep]], np.concatenate([[0], np.cumsum(keep)])[at - at[0]]
+    pieces = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+    at = pieces.offsets.to_numpy()
+    coded = pieces.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+    of = coded.indices.to_numpy()
+    parts = pc.split_pattern_regex(lower(coded.dictionary), between)
+    own = parts.offsets.to_numpy()
+    told = parts.values.slice(own[0], own[-1] - own[0]).dictionary_encode()
+    words = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+    index = told.indices.to_numpy()
+    keep = pc.not_equal(told.dictionary, "").to_numpy(zero_copy_only=False)[index]
+    hashes = np.fromiter(map(digest, words), dtype, len(words))[index[keep]]
+    begin = np.concatenate([[0], np.cumsum(keep)])[own - own[0]]
+    size = np.diff(begin)[of]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return hashes[np.repeat(begin[of] - upto[:-1], size) + np.arange(upto[-1])], upto[at - at[0]]
 
 
 def bit_map(positions: DataFrame) -> np.ndarray:

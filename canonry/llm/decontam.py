@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.common import hash_words, small_batches, text_hash, without_rows
+from canonry.llm.common import giving_back, hash_words, small_batches, text_hash, without_rows
 from canonry.plans.scratch import cut
 
 BETWEEN = r"[^\p{L}\p{N}_]+"
@@ -58,7 +58,7 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_pydict({"doc": b.column(0), "th": b.column(1), "words": words})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_hash(text_col).alias("th"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
-    return cut(rows.mapInArrow(apply, "doc long, th long, words binary"), "words")
+    return cut(rows.mapInArrow(giving_back(apply), "doc long, th long, words binary"), "words")
 
 
 def _slices(column: pa.Array, size: int = 150_000) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -77,17 +77,32 @@ def _slices(column: pa.Array, size: int = 150_000) -> Iterator[tuple[int, list[n
 
 def _cell_sums(table: np.ndarray, rows: np.ndarray, places: np.ndarray, cells: int, size: int) -> np.ndarray:
     """Sums of table[rows] over cells of `size` places; places without a row count as zero."""
-    padded = np.full(cells * size, len(table), np.int64)
+    padded = np.full(cells * size, len(table), np.intp)
     padded[places] = rows
     wide = np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)])
     out = np.empty((cells, table.shape[1]), np.float32)
     grid = padded.reshape(cells, size)
-    for k in range(0, cells, step := max(1, 16384 // size)):
-        part = grid[k : k + step]
-        acc = wide[part[:, 0]]
+    step = max(1, 16384 // size)
+    row = np.empty((min(step, cells), table.shape[1]), np.float32)
+    for k in range(0, cells, step):
+        part, acc = np.ascontiguousarray(grid[k : k + step].T), out[k : k + step]
+        wide.take(part[0], 0, acc, "clip")
         for j in range(1, size):
-            acc += wide[part[:, j]]
-        out[k : k + step] = acc
+            acc += wide.take(part[j], 0, row[: len(acc)], "clip")
+    return out
+
+
+def _next_of(sums: np.ndarray, n: np.ndarray, stride: int) -> np.ndarray:
+    """sums[i] + sums[i + 1] for every stride-th i of each text, which has n of the rows; the last row of a text with stride 2 may be alone."""
+    count = np.maximum(n - 1, np.minimum(n, 1)) if stride == 1 else -(-n // 2)
+    inside = stride * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
+    left = np.repeat(np.cumsum(n) - n, count) + inside
+    out = sums[left]
+    two = inside + 1 < np.repeat(n, count)
+    if two.all():
+        out += sums[left + 1]
+    else:
+        out[two] += sums[left[two] + 1]
     return out
 
 
@@ -128,8 +143,9 @@ def fit_space(words: DataFrame) -> Space:
                 inside = np.arange(len(bucket)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 passage = np.repeat(np.cumsum(count) - count, sizes) + inside // PASSAGE
                 y = _cell_sums(r, bucket, passage * PASSAGE + inside % PASSAGE, int(count.sum()), PASSAGE)
-                for j, column in enumerate(np.ascontiguousarray(y.T)):
-                    s[j] += np.bincount(bucket, column[passage], BUCKETS)
+                place, full = bucket.astype(np.intp), np.bincount(passage)
+                for j, column in enumerate(np.ascontiguousarray(y.T, np.float64)):
+                    s[j] += np.bincount(place, np.repeat(column, full), BUCKETS)
                 order = np.argsort(bucket, kind="stable")
                 by = bucket[order]
                 pair = by.astype(np.int64) << 32 | passage[order]
@@ -145,7 +161,7 @@ def fit_space(words: DataFrame) -> Space:
         return pa.table({"block": t.column("block")[:1], "part": pa.array([t.column("part")[0].as_py() // FAN_IN]), "n": pa.array([sum(t.column("n").to_pylist())]), "s": [s.astype(np.float32).tobytes()], "df": [df.tobytes()]})
 
     schema = "block long, part long, n long, s binary, df binary"
-    got = words.select("words").coalesce(tasks).mapInArrow(sums, schema)
+    got = words.select("words").coalesce(tasks).mapInArrow(giving_back(sums), schema)
     while tasks > 1:
         got = got.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("g")).applyInArrow(add, schema)
         tasks = -(-tasks // FAN_IN)
@@ -240,7 +256,7 @@ class Finder:
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
 
     def _keys(self, space: Space, own: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(whether a bucket has a key word, the key words, where each one's items begin, the items' places in own)."""
@@ -289,7 +305,7 @@ class Finder:
         place = np.repeat(cell0 * c, sizes) + own_place
         bucket = flat >> np.uint32(32 - BUCKET_BITS)
         sums = _cell_sums(self.fold, bucket, place, len(starts), c)
-        before = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
+        half, span, halves = sums, 1, cells  # sums of `span` cells
         present = np.zeros((len(sums) + 1, SEEN_BITS), bool)
         present[np.repeat(np.arange(len(sums)), np.minimum(c, np.repeat(first + sizes, cells) - starts)), flat % np.uint32(SEEN_BITS)] = True
         around, reach = np.packbits(present, axis=1), 1  # of `reach` cells from each cell on
@@ -302,8 +318,9 @@ class Finder:
             count = np.where(cells > 0, np.maximum(1, -(-cells // step) - 1), 0)
             doc = np.repeat(np.arange(len(docs)), count)
             a = cell0[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * step
-            b = np.minimum(a + 2 * step, cell0[doc] + cells[doc])
-            x = self._unit((before[b] - before[a]).astype(np.float32))
+            while span < step:
+                half, span, halves = _next_of(half, halves, 2), 2 * span, -(-halves // 2)
+            x = self._unit(_next_of(half, halves, 1))
             seen = around[np.maximum(a - step, 0)]
             keyed = self._keyed(w, flat, bucket, own_place, np.repeat(np.cumsum(count) - count, sizes), np.repeat(count, sizes))
             for k in range(0, len(x), 16384):
@@ -372,7 +389,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
                         "last_word": pa.array(cols[3], pa.int64()), "share": pa.array(cols[4], pa.float64()), "cosine": pa.array(cols[5], pa.float64()),
                     })
 
-        found = words.mapInArrow(search, "doc_id long, th long, item_id long, first_word long, last_word long, share double, cosine double")
+        found = words.mapInArrow(giving_back(search), "doc_id long, th long, item_id long, first_word long, last_word long, share double, cosine double")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -77,3 +77,21 @@ def test_paraphrases_long_texts_ties_and_repeated_rows(spark):
     assert (long, own[0][0]) in got and got.count((long + 1, own[1][0])) == 2 and got.count((long + 2, own[3][0])) == 1
     kept = [r.doc_id for r in decontam.drop_leaks(docs, bench).collect()]
     assert kept == [long + 1]
+
+
+def test_each_distinct_piece_is_lowered_and_split_once():
+    """The pattern of what parts words meets pieces between spaces, each of a batch once, and finds the words it finds in whole texts."""
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+
+    from canonry.llm.common import hash_words
+
+    met = []
+    texts = ["Red, blue;GREEN! red\tBlue_1 ", None, "", "  ", "ÀÉ中文。字 x-y z"] + ["word other-word again"] * 500
+    flat, at = hash_words(pa.array(texts), decontam.BETWEEN, lambda t: pc.utf8_lower(met.append(t) or t), xxhash.xxh32_intdigest, np.uint32)
+    for i, t in enumerate(texts):
+        assert flat[at[i] : at[i + 1]].tolist() == [xxhash.xxh32_intdigest(w) for w in re.findall(r"\w+", (t or "").lower())], t
+    assert sum(map(len, met)) < 20
