@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.common import MAP_BITS, bit_map, hash_words, set_bits, small_batches, text_hash, without_rows
+from canonry.llm.common import MAP_BITS, bit_map, giving_back, hash_words, set_bits, small_batches, text_hash, without_rows
 from canonry.operators.components import connected_components
 from canonry.plans.scratch import cut, discard
 
@@ -250,8 +250,8 @@ def _met(rows: DataFrame, k: int, percent: int) -> DataFrame:
                     yield from compare(False)
         yield from compare(True)
 
-    dealt = rows.select("doc", "text", "th").mapInArrow(deal, f"part int, bucket long, {_SIGNATURE}, entries binary")
-    return dealt.repartitionById(parts, "part").sortWithinPartitions("bucket").mapInArrow(meet, f"{_SIGNATURE}, {_LISTS}")
+    dealt = rows.select("doc", "text", "th").mapInArrow(giving_back(deal), f"part int, bucket long, {_SIGNATURE}, entries binary")
+    return dealt.repartitionById(parts, "part").sortWithinPartitions("bucket").mapInArrow(giving_back(meet), f"{_SIGNATURE}, {_LISTS}")
 
 
 def _over_sets(docs: DataFrame, ids: DataFrame, k: int, make: Callable, schema: str) -> DataFrame:
@@ -267,7 +267,7 @@ def _over_sets(docs: DataFrame, ids: DataFrame, k: int, make: Callable, schema:
 
         yield from make(some())
 
-    return docs.where("doc is not null").select("doc", "text", place).mapInArrow(apply, schema)
+    return docs.where("doc is not null").select("doc", "text", place).mapInArrow(giving_back(apply), schema)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -360,7 +360,7 @@ def _often(own: DataFrame) -> DataFrame:
         return pa.table({"grp": pa.array([key[0].as_py()], pa.int64()), "told": pa.ListArray.from_arrays(offsets, some), "moved": pa.array([e[moved]], pa.list_(pa.int64()))})
 
     told_schema = pa.schema([*((c, pa.int64()) for c in ("grp", "c", "part")), ("e", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
-    added = own.mapInArrow(add, "grp long, c long, part long, e array<long>, times array<long>")
+    added = own.mapInArrow(giving_back(add), "grp long, c long, part long, e array<long>, times array<long>")
     merged = added.groupBy("grp", "part").applyInArrow(merge, "grp long, told array<struct<times: long, e: long>>, moved array<long>")
     return merged.groupBy("grp").agg(F.array_sort(F.flatten(F.collect_list("told"))).getField("e").alias("often"), F.flatten(F.collect_list("moved")).alias("moved"))
 

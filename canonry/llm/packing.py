@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.common import small_batches
+from canonry.llm.common import giving_back, small_batches
 from canonry.llm.tokens import default_vocabulary, encoder
 from canonry.plans.scratch import cut
 
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, length
         enc.forget()
         yield from out.rest(box.open)
 
-    made = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(first, LEFT), "packed")
+    made = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(first), LEFT), "packed")
     done, left = [made.where("not leftover")], made.where("leftover")
     n, rounds = -(-left.select("sequence_id").distinct().count() // windows), 0
     while n:
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, length
                 out.put(window)
             yield from out.rest(box.open)
 
-        merged = cut(left.repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(merge, LEFT), "packed")
+        merged = cut(left.repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(giving_back(merge), LEFT), "packed")
         done.append(merged.where("not leftover"))
         left, n = merged.where("leftover"), n if n > 1 else 0
     out = left

@@ -11,7 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered by a task.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Bytes of texts that are encoded at a time, as what is needed meanwhile is many times as large.
+TOGETHER = 1 << 20
 #: Pieces whose ids are laid out at a time.
 LAID_OUT = 1 << 18
 #: Marks that are neither letters, numbers nor white space; an apostrophe may begin a contraction and is not among them.
@@ -181,6 +183,18 @@ class Encoder:
         None counts as empty.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ids, places, n = [np.empty(0, self.dtype)], [np.zeros(1, np.int64)], 0
+        upto, k = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+        while k < len(texts):
+            e = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + TOGETHER, "right")))
+            some, place = self._encode(texts.slice(k, e - k), end_id)
+            ids.append(some)
+            places.append(place[1:] + n)
+            n, k = n + len(some), e
+        return np.concatenate(ids), np.concatenate(places)
+
+    def _encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts, none of them None, that are laid out together."""
         if self.n > self.remembered:
             self._make_room()
         if self.by_piece:

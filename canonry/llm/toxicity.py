@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.common import crc_mod, hash_words, small_batches
+from canonry.llm.common import crc_mod, giving_back, hash_words, small_batches
 
 BETWEEN = r"[^\p{L}\p{N}]+"
 BITS = 22
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         w = calibrated([(f, y) for _, y, f in held])
         yield pa.RecordBatch.from_pydict({"k": pa.array(np.append(w.index, -1), pa.int64()), "w": pa.array(np.append(w.value.astype(np.float64), w.bias))})
 
-    got = rows.repartition(1).mapInArrow(learn, "k long, w double").toArrow()
+    got = rows.repartition(1).mapInArrow(giving_back(learn), "k long, w double").toArrow()
     k, w = got.column("k").to_numpy(), got.column("w").to_numpy()
     prior = float(np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5))) if n else -3.0
     return Weights(k[k >= 0], w[k >= 0].astype(np.float32), float(w[k < 0][0]) + shift if (k < 0).any() else -3.0, prior)
@@ -184,7 +184,7 @@ def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: s
             p = scorer(b.column(1))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(p), "predicted": pa.array((p >= THRESHOLD).astype(np.int32))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, "doc_id long, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(apply), "doc_id long, score double, predicted int")
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for b in batches:
             yield b.filter(pa.array(scorer(b.column(at)) < THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(giving_back(keep), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
